@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, near, pack, quality
+from . import bpe, near, pack, quality, suffix
 from .sql import ORACLES
 
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_sparse_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_spans(_table(spark, sf_dir, "documents"))
+
+
 def op4_bitmap_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
