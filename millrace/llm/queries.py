@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, near, pack, quality, suffix
+from . import bpe, near, pack, pii, quality, suffix
 from .sql import ORACLES
 
 
@@ -27,6 +27,10 @@ def op5_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_weakly_supervised_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
 def op9_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(_table(spark, sf_dir, "documents"))
 
