@@ -150,7 +150,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, family
     # a family of one block is one task; a larger one has a task for each pair of blocks, and one for each block
     members = members.select("node", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     members = members.select("node", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
-    texts = docs.select("doc_id", "text").where("doc_id is not null").join(members.withColumnRenamed("node", "doc_id"), "doc_id")
+    # a merge join whatever the sizes: AQE can split its hot keys, and the plan is the same on any input
+    texts = docs.select("doc_id", "text").where("doc_id is not null").hint("merge").join(members.withColumnRenamed("node", "doc_id"), "doc_id")
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id", kind="stable").reset_index(drop=True)
