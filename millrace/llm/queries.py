@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lm, near, pack, pii, quality, suffix, warc
+from . import ann, bpe, lm, near, pack, pii, quality, suffix, warc
 from .sql import ORACLES
 
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_robust_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"))
 
