@@ -7,48 +7,45 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import table
 from . import ann, bpe, lm, near, pack, pii, quality, suffix, warc
 from .sql import ORACLES
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def op1_robust_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.near_duplicates(_table(spark, sf_dir, "embeddings"))
+    return ann.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op2_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(_table(spark, sf_dir, "documents"))
+    return lm.score(table(spark, sf_dir, "documents"))
 
 
 def op3_sparse_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.repeated_spans(_table(spark, sf_dir, "documents"))
+    return suffix.repeated_spans(table(spark, sf_dir, "documents"))
 
 
 def op4_bitmap_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op5_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op7_zip_warc_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
 def op8_weakly_supervised_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find(_table(spark, sf_dir, "documents"))
+    return pii.find(table(spark, sf_dir, "documents"))
 
 
 def op9_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near.near_duplicates(_table(spark, sf_dir, "documents"))
+    return near.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op10_robust_outlier_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(_table(spark, sf_dir, "documents"))
+    return quality.judge(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

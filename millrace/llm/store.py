@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
@@ -29,6 +31,7 @@ class Scratch:
     """Tables of one operator run, below one folder of the shared directory. drop() removes a table that nothing reads any more."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex[:12]}", 0
         atexit.register(self._clean)
 
