@@ -20,44 +20,28 @@ from pyspark.sql import DataFrame
 
 from .arrow import slices
 
-LEAF = 256
-
-
-class RankQueue:
-    """Positions by rank; pop() gives the leftmost position of the smallest rank."""
-
-    __slots__ = ("buckets", "leaves", "top")
-
-    def __init__(self, ranks: int):
-        self.buckets: dict[int, list[int]] = {}
-        self.leaves = [0] * (ranks // LEAF + 1)
-        self.top = 0
-
-    def push(self, rank: int, position: int) -> None:
-        held = self.buckets.get(rank)
-        if held:
-            heapq.heappush(held, position)
-            return
-        self.buckets[rank] = [position]
-        leaf = rank // LEAF
-        self.leaves[leaf] |= 1 << (rank % LEAF)
-        self.top |= 1 << leaf
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        leaf = (self.top & -self.top).bit_length() - 1
-        bits = self.leaves[leaf]
-        low = bits & -bits
-        rank = leaf * LEAF + low.bit_length() - 1
-        held = self.buckets[rank]
-        position = heapq.heappop(held)
-        if not held:
-            del self.buckets[rank]
-            self.leaves[leaf] = bits ^ low
-            if bits == low:
-                self.top ^= 1 << leaf
-        return rank, position
+LEAF = 8  # bits of a rank that its leaf of the bitmap holds
+_BIT = [1 << i for i in range(1 << LEAF)]
+
+
+class Recent:
+    """A bounded cache of two generations: when the young one is full it becomes the old one, and the old one goes."""
+
+    __slots__ = ("most", "old", "young")
+
+    def __init__(self, most: int = 800_000):
+        self.most, self.young, self.old = most // 2, {}, {}
+
+    def get(self, key: str) -> bytes | bool | None:
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: str, value: bytes | bool) -> None:
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
 
 
 class Coder:
@@ -69,44 +53,70 @@ class Coder:
         self.vocabulary = {r: t for t, r in self.ranks.items()}
         self.decimal = {r: str(r) for r in self.vocabulary}
         self.pattern = regex.compile(pattern)
-        self.queue = RankQueue(max(self.vocabulary) + 1)
-        self.seen: dict[str, bytes] = {}
+        self.seen = Recent()
         self.chunks = ChunkCache(lambda pieces: [b"".join(map(self.pre_token, self.pattern.findall(p))) for p in pieces])
 
     def encode_piece(self, piece: bytes) -> list[int]:
+        """Merge one pre-token. The queue's operations are written out here, as calls would cost most of the time."""
         ranks = self.ranks
-        if (whole := ranks.get(piece)) is not None:
+        get = ranks.get
+        if (whole := get(piece)) is not None:
             return [whole]
-        n, queue = len(piece), self.queue
+        n = len(piece)
         after = list(range(1, n + 2))  # of each part, where the next one starts; n ends the list
         before = list(range(-1, n))
-        pair = [-1] * (n + 1)  # the rank that a part has with its right neighbour, -1 if none or if the part is gone
-        get = ranks.get
-        for i in range(n - 1):
-            if (r := get(piece[i : i + 2])) is not None:
-                pair[i] = r
-                queue.push(r, i)
-        while (found := queue.pop()) is not None:
-            rank, i = found
+        pair = [get(piece[i : i + 2], -1) for i in range(n - 1)]  # the rank of a part with its right neighbour, -1 if
+        pair += (-1, -1)  # there is none or the part is gone
+        buckets: dict[int, list[int]] = {}  # of each rank, a heap of positions
+        leaves: dict[int, int] = {}
+        top = 0
+        for i, r in enumerate(pair):
+            if r >= 0:
+                if r in buckets:
+                    buckets[r].append(i)
+                else:
+                    buckets[r] = [i]
+                    leaf = r >> LEAF
+                    leaves[leaf] = leaves.get(leaf, 0) | _BIT[r & 255]
+                    top |= 1 << leaf
+        while top:
+            leaf = (top & -top).bit_length() - 1
+            bits = leaves[leaf]
+            low = bits & -bits
+            rank = (leaf << LEAF) + low.bit_length() - 1
+            held = buckets[rank]
+            i = heapq.heappop(held)
+            if not held:
+                del buckets[rank]
+                leaves[leaf] = bits ^ low
+                if bits == low:
+                    top ^= 1 << leaf
             if pair[i] != rank:
                 continue  # stale
             j = after[i]
             k = after[i] = after[j]
             pair[j] = -1
-            pair[i] = -1
             if k < n:
                 before[k] = i
-                if (r := get(piece[i : after[k]])) is not None:
-                    pair[i] = r
-                    queue.push(r, i)
-            h = before[i]
-            if h >= 0:
-                r = get(piece[h:k])
-                if r is None:
-                    pair[h] = -1
-                elif pair[h] != r:
-                    pair[h] = r
-                    queue.push(r, h)
+                r = pair[i] = get(piece[i : after[k]], -1)
+            else:
+                r = pair[i] = -1
+            while True:
+                if r >= 0:
+                    if r in buckets:
+                        heapq.heappush(buckets[r], i)
+                    else:
+                        buckets[r] = [i]
+                        leaf = r >> LEAF
+                        leaves[leaf] = leaves.get(leaf, 0) | _BIT[r & 255]
+                        top |= 1 << leaf
+                h = before[i] if k >= 0 else -1
+                if h < 0:
+                    break
+                i, r, k = h, get(piece[h:k], -1), -1  # then the same for the left neighbour
+                if r == pair[i]:
+                    break
+                pair[i] = r
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : after[i]]])
@@ -119,9 +129,7 @@ class Coder:
         if found is None:
             found = array("I", self.encode_piece(piece.encode())).tobytes()
             if len(piece) <= 32:
-                if len(self.seen) >= 200_000:
-                    self.seen.clear()
-                self.seen[piece] = found
+                self.seen.put(piece, found)
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -139,31 +147,29 @@ class ChunkCache:
     begins or ends with white space is encoded as a whole. encode_many gives the ids of strings as bytes.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], most: int = 400_000):
-        self.encode_many, self.most = encode_many, most
-        self.first: dict[str, bytes | bool] = {}
-        self.later: dict[str, bytes | bool] = {}
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], most: int = 800_000):
+        self.encode_many = encode_many
+        self.first, self.later = Recent(most // 8), Recent(most)
 
-    def _learn(self, known: dict[str, bytes | bool], pieces: set[str], lead: str) -> dict[str, bytes | bool]:
+    def _learn(self, known: Recent, pieces: set[str], lead: str) -> dict[str, bytes | bool]:
+        fresh = {p: v for p in pieces if (v := known.get(p)) is not None}
+        pieces = pieces - fresh.keys()
         odd = {p for p in pieces if not p or p[0].isspace() or p[-1].isspace()}
         plain = sorted(pieces - odd)
-        fresh: dict[str, bytes | bool] = dict.fromkeys(odd, False)
+        fresh.update(dict.fromkeys(odd, False))
         fresh.update(zip(plain, self.encode_many([lead + p for p in plain]), strict=True))
-        if len(known) + len(fresh) > self.most:
-            known.clear()
-        known.update((p, v) for p, v in fresh.items() if len(p) <= 64)
+        for p in pieces:
+            if len(p) <= 64:
+                known.put(p, fresh[p])
         return fresh
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [t.split(" ") for t in texts]
-        heads: list[bytes | bool | None] = [self.first.get(c[0]) for c in cut]
-        if missing := {c[0] for c, h in zip(cut, heads, strict=True) if h is None}:
-            fresh = self._learn(self.first, missing, "")
-            heads = [fresh[c[0]] if h is None else h for c, h in zip(cut, heads, strict=True)]
-        parts, missing, lacking = [], set(), []
+        fresh = self._learn(self.first, {c[0] for c in cut}, "")
+        parts, missing, lacking, get = [], set(), [], self.later.young.get
         for k, c in enumerate(cut):
-            rest = list(map(self.later.get, c))
-            rest[0] = heads[k]
+            rest = list(map(get, c))
+            rest[0] = fresh[c[0]]
             if None in rest:
                 lacking.append(k)
                 missing.update(p for p, v in zip(c, rest, strict=True) if v is None)

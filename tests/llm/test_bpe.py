@@ -44,7 +44,7 @@ def test_random_texts_and_long_pre_tokens(library):
 
 def test_cache_limit_changes_nothing(library):
     c = bpe.Coder(FILE, P.PATTERN)
-    c.chunks.most = 3
+    c.chunks = bpe.ChunkCache(c.chunks.encode_many, 16)
     texts = ["one two three four five six", "six five four", "one  two"] * 3
     assert ids(c, texts) == [library.encode_ordinary(t) for t in texts]
 
