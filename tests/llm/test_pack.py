@@ -58,6 +58,14 @@ def test_edges(spark):
     assert sorted(str(r.doc_id) for r in pack.pack(twice, FILE).collect() if r.start == 0) == ["7", "7", "None"]
 
 
+def test_same_ids_as_the_tokenizers_library():
+    own, t, rng = pack.encoding(FILE), Tokenizer.from_file(FILE), random.Random(5)
+    texts = [own.decode([i]) for i in range(own.n_vocab)]
+    texts += ["".join(rng.choice(["a", "the", " ", "  ", "\n", "\t", "'s", "é", "漢", "🎉", "1", "!!", "<|endoftext|>", "\x85", "\x1c", "x" * 150]) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    want = t.encode_batch_fast(texts, add_special_tokens=False)
+    assert all(own.encode_to_numpy(x, allowed_special="all").tolist() == w.ids for x, w in zip(texts, want, strict=True))
+
+
 def test_packer_fills_every_window():
     rng = random.Random(4)
     for _ in range(30):
