@@ -18,6 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from ..session import ship
 from .arrow import slices
 
 LEAF = 8  # bits of a rank that its leaf of the bitmap holds
@@ -216,6 +217,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
                 decoded.append(hashlib.sha256(c.decode(ids)).hexdigest())
             yield pa.record_batch([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    ship(docs.sparkSession)
     return docs.selectExpr("doc_id", f"`{text}` as text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
@@ -228,6 +230,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
             ids = [memoryview(raw).cast("I").tolist() for raw in c.encode(batch.column("text").fill_null("").to_pylist())]
             yield pa.record_batch([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
+    ship(docs.sparkSession)
     return docs.selectExpr("doc_id", f"`{text}` as text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
@@ -240,4 +243,5 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             texts = [None if ids is None else c.decode(ids).decode("utf-8", "replace") for ids in batch.column("ids").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
+    ship(encoded.sparkSession)
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")

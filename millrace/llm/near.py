@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import words as W
 from .arrow import slices
@@ -173,3 +173,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, family
     out = made.select("doc_id", *by).join(reps, by, "left")
     whole = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.coalesce("root", "doc_id"))
     return out.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id"), whole.alias("component_id"), F.coalesce(whole == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def keep_first(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """docs without the rows whose component has a smaller id; the default threshold is a similarity of 0.8.
+
+    Rows without an id stay, and so do those with a null or wordless text. Rows with one id are one node, of which one
+    row stays, that with the longest text.
+    """
+    gone = near_duplicates(docs, percent).where("not kept").select("doc_id").distinct()
+    left = docs.hint("merge").join(gone, "doc_id", "left_anti").select(*docs.columns)
+    ids = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if not ids.limit(1).count():
+        return left
+    first = Window.partitionBy("doc_id").orderBy(F.coalesce(F.length("text"), F.lit(-1)).desc(), F.xxhash64(*docs.columns))
+    one = left.where("doc_id is not null").select(F.struct(*docs.columns).alias("_row"), F.row_number().over(first).alias("_n")).where("_n = 1")
+    return one.select("_row.*").union(left.where("doc_id is null"))

@@ -22,6 +22,7 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from ..session import ship
 from .arrow import slices
 
 TIERS = (256, 512, 1024, 2048)
@@ -193,4 +194,5 @@ def pack(docs: DataFrame, path: str, eos: int = 1, tiers: tuple[int, ...] = TIER
         packer.finish()
         yield table()
 
+    ship(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)

@@ -40,10 +40,9 @@ def let(df: DataFrame, **named: Column) -> DataFrame:
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words and n_upper to the rows of docs.
+    """The columns of docs but the text, with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words and n_upper.
 
-    A null text has no words. Rows are independent; other columns are left alone, but those named as the results or
-    beginning with q_ must not be there.
+    A null text has no words. Rows are independent; columns named as the results or beginning with q_ must not be there.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     df = let(docs, q_body=body, q_trim=F.expr(f"trim(BOTH ' \\t\\n\\u000B\\u000C\\r' FROM coalesce(`{text}`, ''))"))
@@ -148,6 +147,18 @@ def estimates(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(scaled.withColumn("scale", F.greatest(F.col("half") / CHI_MEDIAN, F.lit(1.0))).drop("half"), "estimates")
 
 
+def _judged(rows: DataFrame, fit: DataFrame, least: int) -> DataFrame:
+    """rows of vectors() with grp, distance and kept; fit is the small table of estimates."""
+    sizes = fit.select(F.col("grp"), F.col("n"))
+    levels = _levels()
+    out = rows.withColumns({"g_s": levels[0], "g_l": levels[1]})
+    for g in ("g_s", "g_l"):
+        out = out.join(sizes.select(F.col("grp").alias(g), F.col("n").alias(f"{g}_n")), g, "left")
+    group = F.when(F.col("g_s_n") >= least, F.col("g_s")).when(F.col("g_l_n") >= least, F.col("g_l")).otherwise(F.lit("a"))
+    out = out.withColumn("grp", group).join(fit.drop("n"), "grp", "left").withColumn("distance", _distance() / F.col("scale"))
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUT, F.lit(True)))
+
+
 def judge(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """One row per row of docs(doc_id, text, lang, source): statistics, base_failed, group, distance, kept.
 
@@ -158,20 +169,17 @@ def judge(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "quality")
     rows = scratch.save(vectors(statistics(docs.select("doc_id", "text", "lang", "source"))), "statistics")
-    fit = estimates(rows, scratch)
-    sizes = fit.select(F.col("grp"), F.col("n"))
-    levels = _levels()
-    out = rows.withColumns({"g_s": levels[0], "g_l": levels[1]})
-    for g in ("g_s", "g_l"):
-        out = out.join(sizes.select(F.col("grp").alias(g), F.col("n").alias(f"{g}_n")), g, "left")
-    group = F.when(F.col("g_s_n") >= least, F.col("g_s")).when(F.col("g_l_n") >= least, F.col("g_l")).otherwise(F.lit("a"))
-    out = out.withColumn("grp", group).join(fit.drop("n"), "grp", "left").withColumn("distance", _distance() / F.col("scale"))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUT, F.lit(True))
+    out = _judged(rows, estimates(rows, scratch), least)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    return out.select("doc_id", *names, F.round("distance", 3).alias("distance"), F.translate("grp", "\x01\0", "/").alias("grp"), kept.alias("kept"))
+    return out.select("doc_id", *names, F.round("distance", 3).alias("distance"), F.translate("grp", "\x01\0", "/").alias("grp"), "kept")
+
 
+def filter_documents(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """The rows of docs that judge() keeps, with all their columns.
 
-def filter_documents(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose (doc_id, text, lang, source) is rejected; rows without a doc_id are judged as well."""
-    bad = judge(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    Statistics are taken a second time rather than joined, so texts are never shuffled.
+    """
+    scratch = Scratch(docs.sparkSession, "quality")
+    fit = estimates(scratch.save(vectors(statistics(docs.select("text", "lang", "source"))), "statistics"), scratch)
+    whole = docs.select(F.struct(*docs.columns).alias("whole"), "text", "lang", "source")
+    return _judged(vectors(statistics(whole)), fit, least).where("kept").select("whole.*")
