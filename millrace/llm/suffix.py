@@ -4,14 +4,15 @@ Of a document's suffixes only those at minimiser positions are kept: of the GRAM
 `least` words, the leftmost one with the smallest fingerprint. Two equal runs choose the same place, so every
 repeated run is seen at a kept suffix, and about one suffix in twenty is kept.
 
-1. one Arrow pass lists the kept suffixes: fingerprint of the first GRAM words, of the words that follow, id, place;
+1. one Arrow pass lists the kept suffixes: fingerprint of the first GRAM words, fingerprint of the surroundings (all
+   runs that chose the suffix, so it reaches to the left and the right), id, place;
 2. they are range-partitioned and sorted (ids and places break ties, so a frequent passage is spread over tasks) and
    neighbours are compared; the ends of partitions are compared with each other as well. A suffix that begins like
    no other is gone;
-3. the others are extended to the left and the right: all runs of `least` words that chose the suffix get a
-   fingerprint. Suffixes whose whole surroundings agree are one class, of which only the first has to be compared
-   further, so copies are not multiplied; classes that begin alike compare their runs;
-4. runs with an earlier copy are merged to maximal spans.
+3. suffixes whose whole surroundings agree are one class, so copies are not multiplied: all but the first are copies
+   of it. Where classes begin alike, the first of each is extended to the left and the right: its runs get
+   fingerprints of their own, and a run with an earlier equal one is a copy;
+4. copies are merged to maximal spans.
 
 The result is exact up to collisions of 64-bit fingerprints: a word lies in a span if and only if it lies in a run of
 `least` words that occurs at an earlier (doc_id, place).
@@ -64,85 +65,109 @@ def _suffixes(docs: DataFrame, least: int) -> DataFrame:
             parts: list[list[np.ndarray]] = [[], [], [], []]
             for i in range(len(w)):
                 prints = w.prints[w.first[i] : w.first[i + 1]]
-                place, g, _, _ = minimisers(prints, least)
+                place, g, low, _ = minimisers(prints, least)
                 if len(place):
-                    rest = Rolling(prints).of(place, np.minimum(place + least, len(prints)))
-                    for part, x in zip(parts, (g.view(np.int64), rest.view(np.int64), np.full(len(place), ids[i]), place.astype(np.int32)), strict=True):
+                    starts = np.arange(len(prints) - least + 1)
+                    runs = W.mix(Rolling(prints).of(starts, starts + least) + (starts - np.repeat(place, np.diff(np.append(low, len(starts))))).astype(np.uint64))
+                    whole = W.mix(np.add.reduceat(runs, low))  # of all runs and where they lie about the place
+                    for part, x in zip(parts, (g.view(np.int64), whole.view(np.int64), np.full(len(place), ids[i]), place.astype(np.int32)), strict=True):
                         part.append(x)
             if parts[0]:
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in parts], ["g", "rest", "doc_id", "place"])
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in parts], ["g", "whole", "doc_id", "place"])
 
-    return docs.mapInArrow(run, "g long, rest long, doc_id long, place int")
+    return docs.mapInArrow(run, "g long, whole long, doc_id long, place int")
 
 
 def _neighbours(suffixes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Those of (g, rest, doc_id, place) that share g with another one, by sorting and comparing neighbours."""
+    """Those of (g, whole, doc_id, place) that share g with another one, by sorting and comparing neighbours."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, first = None, True  # the last row so far, not yet judged
 
-        def out(g: np.ndarray, ids: np.ndarray, places: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+        def out(columns: list[np.ndarray], kind: np.ndarray) -> pa.RecordBatch:
             use = kind > 0
-            return pa.record_batch([pa.array(g[use]), pa.array(ids[use]), pa.array(places[use]), pa.array(kind[use])], ["g", "doc_id", "place", "kind"])
+            return pa.record_batch([*(pa.array(c[use]) for c in columns), pa.array(kind[use])], ["g", "whole", "doc_id", "place", "kind"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            g, ids, places = (batch.column(c).to_numpy() for c in ("g", "doc_id", "place"))
+            columns = [batch.column(c).to_numpy() for c in ("g", "whole", "doc_id", "place")]
             if held is not None:
-                g, ids, places = np.append(held[0], g), np.append(held[1], ids), np.append(held[2], places)
+                columns = [np.append(a, b) for a, b in zip(held[0], columns, strict=True)]
+            g = columns[0]
             like = g[1:] == g[:-1]
             kind = np.zeros(len(g), np.int8)
             kind[1:] |= like
             kind[:-1] |= like
-            if held is not None and held[3]:
+            if held is not None and held[1]:
                 kind[0] = 1
             if first:  # 2: a row at an end of the partition, alone so far; 3: one that has a neighbour
                 kind[0] = 2 + kind[0] if len(g) > 1 else 0
             n = len(g) - 1
             if n:
-                yield out(g[:n], ids[:n], places[:n], kind[:n])
+                yield out([c[:n] for c in columns], kind[:n])
                 first = False
-            held = (g[n:], ids[n:], places[n:], bool(n and like[-1]) or bool(held is not None and not n and held[3]))
+            held = ([c[n:] for c in columns], bool(n and like[-1]) or bool(held is not None and not n and held[1]))
         if held is not None:
-            yield out(*held[:3], np.array([3 if held[3] else 2], np.int8))
+            yield out(held[0], np.array([3 if held[1] else 2], np.int8))
 
-    spread = suffixes.repartitionByRange(F.col("g"), F.col("rest"), F.col("doc_id"), F.col("place")).sortWithinPartitions("g", "rest", "doc_id", "place")
-    judged = scratch.save(spread.drop("rest").mapInArrow(run, "g long, doc_id long, place int, kind byte"), "judged")
+    names = ["g", "whole", "doc_id", "place"]
+    spread = suffixes.repartitionByRange(*map(F.col, names)).sortWithinPartitions(*names)
+    judged = scratch.save(spread.mapInArrow(run, "g long, whole long, doc_id long, place int, kind byte"), "judged")
+    scratch.drop(suffixes)
     ends = judged.where("kind >= 2")  # at most two of each partition
     across = ends.groupBy("g").count().where("count > 1").select("g")
-    return judged.where("kind in (1, 3)").select("g", "doc_id", "place").union(ends.where("kind = 2").join(across, "g", "left_semi").select("g", "doc_id", "place"))
+    return judged.where("kind in (1, 3)").select(names).union(ends.where("kind = 2").join(across, "g", "left_semi").select(names))
 
 
-def _extended(docs: DataFrame, found: DataFrame, least: int) -> DataFrame:
-    """(g, doc_id, place, low, runs, begins, ends, whole): the fingerprints and byte places of all runs of each suffix."""
-    by_doc = found.groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
+def _extended(docs: DataFrame, marked: DataFrame, least: int) -> DataFrame:
+    """(doc_id, start_word, end_word, start_byte, end_byte, copy_of, print) of marked(doc_id, place, copy_of).
+
+    A suffix with a copy_of gives the span of all its runs, one without gives each of its runs with its fingerprint.
+    """
+    by_doc = marked.groupBy("doc_id").agg(F.collect_list(F.struct("place", "copy_of")).alias("places"))
     texts = docs.hint("merge").join(by_doc, "doc_id").select("doc_id", "text", "places")
+    names = ["doc_id", "start_word", "end_word", "start_byte", "end_byte", "copy_of", "print"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             w = W.Words(batch.column("text"), lower=False)
-            ids, wanted = batch.column("doc_id").to_pylist(), batch.column("places").to_pylist()
-            rows: list[tuple] = []
+            ids, lists = batch.column("doc_id").to_numpy(), batch.column("places")
+            wanted = lists.flatten()
+            ends_at = np.cumsum(lists.value_lengths().to_numpy())
+            places, copies = wanted.field("place").to_numpy(), wanted.field("copy_of")
+            alone, copy_of = copies.is_null().to_numpy(zero_copy_only=False), copies.fill_null(0).to_numpy()
+            parts: list[list[np.ndarray]] = [[] for _ in range(8)]
+
+            def add(i: int, start: np.ndarray, end: np.ndarray, words: slice, source: np.ndarray, own: np.ndarray, prints: np.ndarray) -> None:
+                begins, finishes = w.starts[words] - w.offsets[i], w.ends[words] - w.offsets[i]
+                for part, x in zip(parts, (np.full(len(start), ids[i]), start, end, begins[start], finishes[end - 1], source, own, prints), strict=True):
+                    part.append(x)
+
             for i in range(len(w)):
-                at = slice(w.first[i], w.first[i + 1])
-                prints = w.prints[at]
-                place, g, low, high = minimisers(prints, least)
-                use = np.isin(place, wanted[i])
-                if not use.any():
-                    continue
-                begins, ends = w.starts[at] - w.offsets[i], w.ends[at] - w.offsets[i]
-                starts = np.arange(len(prints) - least + 1)
-                runs = Rolling(prints).of(starts, starts + least)
-                for p, gram, lo, hi in zip(place[use], g[use].view(np.int64), low[use], high[use], strict=True):
-                    r = runs[lo : hi + 1]
-                    whole = W.mix((W.mix(r + np.arange(len(r), dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)).sum(keepdims=True, dtype=np.uint64) + np.uint64(int(p - lo)))
-                    rows.append((int(gram), ids[i], int(p), int(lo), r.view(np.int64), begins[lo : hi + 1].astype(np.int32), ends[lo + least - 1 : hi + least].astype(np.int32), int(whole.view(np.int64)[0])))
-            if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64())
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["g", "doc_id", "place", "low", "runs", "begins", "ends", "whole"])
-
-    return texts.mapInArrow(run, "g long, doc_id long, place int, low int, runs array<long>, begins array<int>, ends array<int>, whole long")
+                words = slice(w.first[i], w.first[i + 1])
+                prints = w.prints[words]
+                place, _, low, high = minimisers(prints, least)
+                at = slice(ends_at[i - 1] if i else 0, ends_at[i])
+                where = np.searchsorted(place, places[at])
+                there = where < len(place)
+                there[there] = place[where[there]] == places[at][there]  # all, unless ids are repeated
+                one, where, source = alone[at][there], where[there], copy_of[at][there]
+                if (~one).any():
+                    k = where[~one]
+                    add(i, low[k], high[k] + least, words, source[~one], np.zeros(len(k), bool), np.zeros(len(k), np.uint64))
+                if one.any():
+                    k = np.unique(where[one])
+                    n = high[k] - low[k] + 1
+                    start = np.repeat(low[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    add(i, start, start + least, words, np.zeros(len(start), np.int64), np.ones(len(start), bool), Rolling(prints).of(start, start + least))
+            if parts[0]:
+                doc, start, end, b, e, source, own, prints = (np.concatenate(x) for x in parts)
+                yield pa.record_batch(
+                    [pa.array(doc), *(pa.array(x.astype(np.int32)) for x in (start, end, b, e)), pa.array(source, mask=own), pa.array(prints.view(np.int64), mask=~own)], names
+                )
+
+    return texts.mapInArrow(run, "doc_id long, start_word int, end_word int, start_byte int, end_byte int, copy_of long, print long")
 
 
 def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -156,22 +181,18 @@ def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "suffix")
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     found = _neighbours(scratch.save(_suffixes(docs, least), "suffixes"), scratch)
-    rows = scratch.save(_extended(docs, found, least), "extended")
-    classes = rows.groupBy("g", "whole").agg(F.min(F.struct("doc_id", "place")).alias("rep"))
+    classes = found.groupBy("g", "whole").agg(F.min(F.struct("doc_id", "place")).alias("rep"), F.count("*").alias("n"))
     classes = scratch.save(classes, "classes")
-    alike = classes.groupBy("g").count().where("count > 1").select("g")
-    known = rows.hint("merge").join(classes, ["g", "whole"])
-    own = F.struct("doc_id", "place") == F.col("rep")
-    copies = known.where(~own).select(
-        "doc_id", F.col("low").alias("start_word"), (F.col("low") + F.size("runs") - 1 + least).alias("end_word"),
-        F.element_at("begins", 1).alias("start_byte"), F.element_at("ends", -1).alias("end_byte"), F.col("rep.doc_id").alias("copy_of"),
-    )
-    each = known.where(own).join(alike, "g", "left_semi").select("doc_id", "low", F.posexplode(F.arrays_zip("runs", "begins", "ends")).alias("at", "run"))
-    each = scratch.save(each.select("doc_id", (F.col("low") + F.col("at")).alias("word"), F.col("run.runs").alias("print"), F.col("run.begins").alias("b"), F.col("run.ends").alias("e")).distinct(), "runs")
-    first = each.groupBy("print").agg(F.min(F.struct("doc_id", "word")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = each.hint("merge").join(first, "print").where(F.struct("doc_id", "word") != F.col("first"))
-    later = later.select("doc_id", F.col("word").alias("start_word"), (F.col("word") + least).alias("end_word"), F.col("b").alias("start_byte"), F.col("e").alias("end_byte"), F.col("first.doc_id").alias("copy_of"))
-    spans = copies.union(later)
+    alike = classes.groupBy("g").count().where("count > 1").select("g", F.lit(True).alias("several"))
+    classes = classes.hint("merge").join(alike, "g", "left").where("n > 1 or several")
+    known = found.hint("merge").join(classes, ["g", "whole"]).withColumn("own", F.struct("doc_id", "place") == F.col("rep"))
+    marked = known.where("not own or several").select("doc_id", "place", F.when(~F.col("own"), F.col("rep.doc_id")).alias("copy_of"))
+    parts = scratch.save(_extended(docs, marked, least), "parts")
+    each = parts.where("print is not null").drop("copy_of")
+    first = each.groupBy("print").agg(F.min(F.struct("doc_id", "start_word")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = each.hint("merge").join(first, "print").where(F.struct("doc_id", "start_word") != F.col("first"))
+    names = ["doc_id", "start_word", "end_word", "start_byte", "end_byte"]
+    spans = parts.where("print is null").select(*names, "copy_of").union(later.select(*names, F.col("first.doc_id").alias("copy_of")))
     order = Window.partitionBy("doc_id").orderBy("start_word", "end_word")
     before = F.max("end_word").over(order.rowsBetween(Window.unboundedPreceding, -1))
     parts = spans.withColumn("new", F.coalesce(F.col("start_word") > before, F.lit(True)).cast("int"))
