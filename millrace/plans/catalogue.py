@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import text_queries  # noqa: F401
+from . import dedup_queries, text_queries  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 
