@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dedup_queries, policy_queries, text_queries  # noqa: F401
+from . import assembly_queries, dedup_queries, policy_queries, text_queries  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 

@@ -1,0 +1,211 @@
+"""Standardizers: source schemas to the canonical document, as column expressions.
+
+Each takes a frame with source_index (a whole number over all rows, unusable ones included) and gives canonical
+documents: id, source, source_dataset, source_config, source_split, license, language, text and a metadata map. The cap
+counts accepted rows in source order.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..functions import text as T
+from ..operators.assemble import limit_each
+from ..operators.clean import document_id
+from ..operators.sft import instruction_text
+
+
+@dataclass(frozen=True)
+class Source:
+    """What a source's documents carry besides their text."""
+
+    name: str
+    dataset: str
+    config: str | None = None
+    split: str = "train"
+    output_split: str = "train"
+    license: str = "unknown"
+    language: str = "en"
+    max_documents: int | None = None
+
+
+def first_string(df: DataFrame, *names: str) -> Column:
+    """The first of the columns that is there and not blank, stripped; the empty string if there is none."""
+    found = [F.when(~T.blank(F.col(n).cast("string")), T.strip(F.col(n).cast("string"))) for n in names if n in df.columns]
+    return F.coalesce(*found, F.lit(""))
+
+
+def optional(df: DataFrame, name: str, kind: str = "string") -> Column:
+    return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
+
+
+def canonical(df: DataFrame, s: Source, text: Column, license_: Column | None = None, **metadata: Column) -> DataFrame:
+    """Canonical documents of the rows whose text isn't empty; metadata columns go to a map of strings, nulls left out."""
+    pairs = F.array(*(F.struct(F.lit(k).alias("k"), v.cast("string").alias("v")) for k, v in {"source_index": F.col("source_index"), **metadata}.items()))
+    rows = df.select("source_index", text.alias("text"), (license_ if license_ is not None else F.lit(s.license)).alias("license"), F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull())).alias("metadata"))
+    rows = rows.where(~T.blank(F.col("text")))
+    if s.max_documents is not None:
+        rows = limit_each(rows.withColumn("_g", F.lit(0)), "_g", "source_index", s.max_documents).drop("_g")
+    return rows.select(
+        document_id(F.lit(s.name), F.lit(s.output_split), F.col("source_index"), F.col("text")).alias("id"), F.lit(s.name).alias("source"), F.lit(s.dataset).alias("source_dataset"),
+        F.lit(s.config).cast("string").alias("source_config"), F.lit(s.split).alias("source_split"), "license", F.lit(s.language).alias("language"), "text", "metadata",
+    )
+
+
+def _titled(title: Column, body: Column, cased: bool) -> Column:
+    """The body, with the title before it unless it begins with it."""
+    a, b = (body, title) if cased else (F.lower(body), F.lower(title))
+    return F.when(body == "", "").when((title == "") | F.startswith(a, b), body).otherwise(F.concat(title, F.lit("\n\n"), body))
+
+
+def plain_text(df: DataFrame, s: Source) -> DataFrame:
+    return canonical(df, s, first_string(df, "text"), document_type=F.lit("text"))
+
+
+def wikipedia(df: DataFrame, s: Source) -> DataFrame:
+    return canonical(df, s, _titled(first_string(df, "title"), first_string(df, "text"), False), document_type=F.lit("article"), title=optional(df, "title"), url=optional(df, "url"))
+
+
+def heading(c: Column) -> Column:
+    """struct(title, level) of a heading line, null for any other: as many equal signs on both sides, and a title."""
+    shape = r"^\s*((?:=\s*)+)(.*?)((?:\s*=)+)\s*$"
+    level = lambda g: F.length(F.regexp_replace(F.regexp_extract(c, shape, g), "[^=]", ""))
+    title = T.strip(F.regexp_extract(c, shape, 2))
+    return F.when(F.regexp_like(c, F.lit(shape)) & (title != "") & (level(1) == level(3)), F.struct(title.alias("title"), level(1).alias("level")))
+
+
+def articles(df: DataFrame, line: str = "text", order: str = "source_index", group: str | None = None) -> DataFrame:
+    """Rows of a line-wise source joined to articles: (group,) article, source_index, title, text, parts.
+
+    A heading of the first level begins an article (number 0 holds what comes before any); deeper headings are parts of
+    it by their title. Blank lines and a part equal to the one before it are left out.
+    """
+    keys = [group] if group else []
+    df = df.select(*keys, order, F.col(line).alias("_line"), heading(F.col(line)).alias("_h"))
+    w = Window.partitionBy(*keys).orderBy(order) if keys else Window.orderBy(order)
+    top = F.coalesce(F.col("_h.level") == 1, F.lit(False))
+    df = df.withColumn("article", F.sum(top.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    df = df.withColumn("_part", F.coalesce(F.col("_h.title"), T.strip(F.col("_line")))).where("_part <> ''")
+    inside = Window.partitionBy(*keys, "article").orderBy(order)
+    df = df.withColumn("_same", F.coalesce(F.lag("_part").over(inside) == F.col("_part"), F.lit(False))).where("not _same")
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_part").alias("p"))))
+    out = df.groupBy(*keys, "article").agg(parts.alias("_ps"), F.max(F.when(F.col("_h.level") == 1, F.col("_h.title"))).alias("title"))
+    return out.select(*keys, "article", F.col("_ps")[0]["o"].alias("source_index"), "title", F.array_join(F.transform("_ps", lambda x: x["p"]), "\n\n").alias("text"), F.size("_ps").cast("long").alias("parts"))
+
+
+def wikitext(df: DataFrame, s: Source) -> DataFrame:
+    whole = articles(df)
+    return canonical(whole, s, F.col("text"), document_type=F.lit("article"), title=F.col("title"))
+
+
+def _instruction(kind: str, asks: tuple[str, ...], contexts: tuple[str, ...], answers: tuple[str, ...], extra: tuple[str, ...] = ()) -> Callable[[DataFrame, Source], DataFrame]:
+    """A standardizer of rows with fallback lists for instruction, input and response."""
+
+    def run(df: DataFrame, s: Source) -> DataFrame:
+        ask, context, answer = (first_string(df, *names) for names in (asks, contexts, answers))
+        text = F.when((ask == "") | (answer == ""), "").otherwise(instruction_text(ask, context, answer))
+        return canonical(df, s, text, document_type=F.lit(kind), task_type=F.lit("sft"), **{n: optional(df, n) for n in extra})
+
+    return run
+
+
+def medmcqa(df: DataFrame, s: Source) -> DataFrame:
+    """Multiple choice: a question, four options and the number of the right one, 0 to 3."""
+    options = [first_string(df, n) for n in ("opa", "opb", "opc", "opd")]
+    listed = F.concat_ws("\n", *(F.concat(F.lit(f"{letter}. "), o) for letter, o in zip("ABCD", options, strict=True)))
+    right = F.col("cop").cast("int")
+    usable = (first_string(df, "question") != "") & right.between(0, 3)
+    for o in options:
+        usable = usable & (o != "")
+    pick = lambda values: F.get(F.array(*values), right)
+    answer = F.concat(F.lit("Answer: "), pick([F.lit(x) for x in "ABCD"]), F.lit(". "), pick(options))
+    why = first_string(df, "exp")
+    text = F.concat_ws("\n\n", F.concat(F.lit("Question:\n"), first_string(df, "question")), F.concat(F.lit("Options:\n"), listed), answer, F.when(why != "", F.concat(F.lit("Explanation:\n"), why)))
+    return canonical(df, s, F.when(F.coalesce(usable, F.lit(False)), text).otherwise(""), document_type=F.lit("multiple_choice"), subject=optional(df, "subject_name"), topic=optional(df, "topic_name"))
+
+
+def openmedinstruct(df: DataFrame, s: Source) -> DataFrame:
+    """Fields, or the messages by role where fields lack."""
+    ask, context, answer = first_string(df, "instruction", "question", "query", "prompt"), first_string(df, "input", "context"), first_string(df, "output", "response", "answer")
+    if "messages" in df.columns:
+        said = lambda *roles: F.array_join(F.transform(F.filter(F.coalesce("messages", F.array()), lambda m: F.lower(m["role"]).isin(*roles) & ~T.blank(m["content"])), lambda m: T.strip(m["content"])), "\n")
+        lacking = (ask == "") | (answer == "")
+        ask, answer = F.when(lacking, said("user", "human")).otherwise(ask), F.when(lacking, said("assistant", "gpt")).otherwise(answer)
+    text = F.when((ask == "") | (answer == ""), "").otherwise(instruction_text(ask, context, answer))
+    return canonical(df, s, text, document_type=F.lit("instruction"), task_type=F.lit("sft"))
+
+
+def pubmedqa(df: DataFrame, s: Source) -> DataFrame:
+    """A question with contexts (a string, a list, or a struct with a list) and a long answer behind its decision."""
+    kind = df.schema["context"].dataType.typeName() if "context" in df.columns else "string"
+    listed = {"struct": lambda: F.col("context.contexts"), "array": lambda: F.col("context")}.get(kind)
+    context = F.array_join(F.filter(F.transform(listed(), T.strip), lambda x: x != ""), "\n") if listed else first_string(df, "context")
+    ask, answer, decision = first_string(df, "question"), first_string(df, "long_answer"), first_string(df, "final_decision")
+    full = F.when(decision != "", F.concat(F.initcap(decision), F.lit(". "), answer)).otherwise(answer)
+    text = F.when((ask == "") | (answer == ""), "").otherwise(instruction_text(ask, F.coalesce(context, F.lit("")), full))
+    return canonical(df, s, text, document_type=F.lit("question_answer"), pubid=optional(df, "pubid"))
+
+
+def pubmed_abstracts(df: DataFrame, s: Source) -> DataFrame:
+    """XML of one citation: title and labelled parts of the abstract."""
+    x = lambda path: F.xpath_string("xml", F.lit(path))
+    labels, parts = F.xpath("xml", F.lit("//Abstract/AbstractText/@Label")), F.xpath("xml", F.lit("//Abstract/AbstractText/text()"))
+    body = F.when(F.size(labels) == F.size(parts), F.zip_with(labels, parts, lambda a, b: F.concat(a, F.lit(": "), T.strip(b)))).otherwise(F.transform(parts, T.strip))
+    abstract = F.array_join(F.filter(body, lambda b: b != ""), "\n")
+    text = F.when(abstract == "", "").otherwise(F.concat_ws("\n\n", F.nullif(T.squash(x("//ArticleTitle")), F.lit("")), abstract))
+    return canonical(df, s, text, document_type=F.lit("abstract"), pmid=F.nullif(x("//PMID"), F.lit("")), journal=F.nullif(x("//Journal/Title"), F.lit("")), doi=F.nullif(x("//ArticleId[@IdType='doi']"), F.lit("")))
+
+
+#: Licence statements of open-access articles, in the order in which they are tried.
+ARTICLE_LICENSES = [
+    (r"(?i)creativecommons\.org/publicdomain/zero|\bcc0\b", "cc0-1.0"), (r"(?i)creativecommons\.org/licenses/by-nc-nd|cc[ -]by[ -]nc[ -]nd", "cc-by-nc-nd"), (r"(?i)creativecommons\.org/licenses/by-nc-sa|cc[ -]by[ -]nc[ -]sa", "cc-by-nc-sa"),
+    (r"(?i)creativecommons\.org/licenses/by-nc|cc[ -]by[ -]nc", "cc-by-nc"), (r"(?i)creativecommons\.org/licenses/by-sa|cc[ -]by[ -]sa", "cc-by-sa"), (r"(?i)creativecommons\.org/licenses/by-nd|cc[ -]by[ -]nd", "cc-by-nd"),
+    (r"(?i)creativecommons\.org/licenses/by|cc[ -]by\b", "cc-by"),
+]
+
+
+def pmc_open_access(df: DataFrame, s: Source) -> DataFrame:
+    """XML of one article: title and body paragraphs; each article has its own licence."""
+    paragraphs = F.filter(F.transform(F.xpath("xml", F.lit("//body//p//text()")), T.squash), lambda p: p != "")
+    stated = F.concat_ws(" ", F.array_join(F.xpath("xml", F.lit("//license//text()")), " "), F.array_join(F.xpath("xml", F.lit("//license//@*")), " "))
+    license_ = F.lit("unknown")
+    for pattern, name in reversed(ARTICLE_LICENSES):
+        license_ = F.when(stated.rlike(pattern), name).otherwise(license_)
+    title = T.squash(F.xpath_string("xml", F.lit("//article-title")))
+    text = F.when(F.size(paragraphs) == 0, "").otherwise(F.concat_ws("\n\n", F.nullif(title, F.lit("")), F.array_join(paragraphs, "\n\n")))
+    return canonical(df, s, text, license_, document_type=F.lit("article"), pmcid=F.nullif(F.xpath_string("xml", F.lit("//article-id[@pub-id-type='pmc']")), F.lit("")))
+
+
+def project_gutenberg(df: DataFrame, s: Source) -> DataFrame:
+    return canonical(df, s, first_string(df, "text", "content"), document_type=F.lit("book"), title=optional(df, "title"), author=optional(df, "author"))
+
+
+def fineweb_edu(df: DataFrame, s: Source) -> DataFrame:
+    return canonical(df, s, first_string(df, "text"), document_type=F.lit("web"), **{n: optional(df, n) for n in ("url", "dump", "token_count", "score", "language_score")})
+
+
+def wikidoc(df: DataFrame, s: Source) -> DataFrame:
+    """Rows of this source alone (an empty tag counts as its own); the title stands before the content unless it begins it."""
+    tag = F.lower(T.strip(F.coalesce(optional(df, "source"), F.lit(""))))
+    return canonical(df.where(tag.isin("", "wikidoc")), s, _titled(first_string(df, "title"), first_string(df, "content", "text"), True), document_type=F.lit("article"), title=optional(df, "title"))
+
+
+REGISTRY: dict[str, Callable[[DataFrame, Source], DataFrame]] = {
+    "tinystories": plain_text, "wikipedia": wikipedia, "wikitext103": wikitext,
+    "alpaca": _instruction("instruction", ("instruction",), ("input",), ("output", "response")),
+    "chatdoctor": _instruction("dialogue", ("instruction", "question", "input"), ("context",), ("output", "response", "answer")),
+    "medalpaca": _instruction("medical_instruction", ("instruction", "question"), ("input", "context"), ("output", "answer", "response")),
+    "medinstruct": _instruction("medical_instruction", ("instruction",), ("input",), ("output", "response", "answer", "gpt-4-answer", "gpt-3.5-turbo-answer", "reference_answer"), ("difficulty",)),
+    "medmcqa": medmcqa, "openmedinstruct": openmedinstruct, "pubmedqa": pubmedqa, "pubmed_abstracts": pubmed_abstracts, "pmc_open_access": pmc_open_access,
+    "project_gutenberg_public_domain": project_gutenberg, "fineweb_edu": fineweb_edu, "wikidoc": wikidoc,
+}
+
+
+def standardize(df: DataFrame, s: Source) -> DataFrame:
+    """Documents of a source by its registered standardizer."""
+    if s.name not in REGISTRY:
+        raise ValueError(f"no standardizer for {s.name!r}; there are {', '.join(sorted(REGISTRY))}")
+    return REGISTRY[s.name](df, s)
