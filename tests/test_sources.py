@@ -1,0 +1,165 @@
+"""Standardizers, files, shards, the service reader, streams and the stage driver."""
+
+import json
+import urllib.error
+
+import pytest
+from pyspark.sql import Row, functions as F
+
+from millrace.functions import text as T
+from millrace.operators import packing
+from millrace.plans import stages
+from millrace.sources import entrez, files, shards, standardize as Z
+from millrace.streaming import stream
+
+
+def texts(df, name, **options):
+    if "source_index" not in df.columns:
+        df = df.withColumn("source_index", F.monotonically_increasing_id())
+    return [r.text for r in Z.standardize(df, Z.Source(name, name, **options)).orderBy("id").collect()]
+
+
+def test_plain_and_titled(spark):
+    df = spark.createDataFrame([(0, " a "), (1, None), (2, " "), (3, "b"), (4, "c")], "source_index long, text string")
+    out = Z.standardize(df, Z.Source("tinystories", "hub/x", max_documents=2)).orderBy("id").collect()
+    assert [r.text for r in out] == ["a", "b"] and out[1].id.startswith("tinystories-train-000000003-") and out[1].metadata["source_index"] == "3"
+    df = spark.createDataFrame([("Cat", "cat is an animal"), ("Dog", "An animal"), (None, "No title")], "title string, text string").coalesce(1)
+    assert texts(df, "wikipedia") == ["cat is an animal", "Dog\n\nAn animal", "No title"]
+    df = spark.createDataFrame([("Cat", "cat x", ""), ("Cat", "Cat x", "WikiDoc"), ("A", "b", "other")], "title string, content string, source string").coalesce(1)
+    assert texts(df, "wikidoc") == ["Cat\n\ncat x", "Cat x"]
+    for name in ("project_gutenberg_public_domain", "fineweb_edu"):
+        assert texts(spark.createDataFrame([("x",)], "text string"), name) == ["x"]
+    with pytest.raises(ValueError):
+        Z.standardize(df, Z.Source("nowhere", "x"))
+
+
+def test_wikitext(spark):
+    lines = ["before", "", " = First = ", " text ", " text ", " == Part == ", "more", "= = Deep = =", " = = Odd = ", " = Second = ", "end"]
+    df = spark.createDataFrame(list(enumerate(lines)), "source_index long, text string")
+    assert texts(df, "wikitext103") == ["before", "First\n\ntext\n\nPart\n\nmore\n\nDeep\n\n= = Odd =", "Second\n\nend"]
+
+
+def test_instruction_sources(spark):
+    row = spark.createDataFrame([("ask", "in", "out"), ("ask", "", "out"), ("", "", "out")], "instruction string, input string, output string").coalesce(1)
+    whole = ["Instruction:\nask\n\nInput:\nin\n\nResponse:\nout", "Instruction:\nask\n\nResponse:\nout"]
+    for name in ("alpaca", "medalpaca", "medinstruct", "openmedinstruct"):
+        assert texts(row, name) == whole
+    assert texts(spark.createDataFrame([("q", "a")], "question string, answer string"), "chatdoctor") == ["Instruction:\nq\n\nResponse:\na"]
+    chat = spark.createDataFrame([Row(messages=[Row(role="system", content="s"), Row(role="User", content=" hi "), Row(role="gpt", content="yo"), Row(role="human", content="more")])])
+    assert texts(chat, "openmedinstruct") == ["Instruction:\nhi\nmore\n\nResponse:\nyo"]
+
+
+def test_question_sources(spark):
+    df = spark.createDataFrame([("q", "1", "2", "3", "4", 2, "why"), ("q", "1", "2", "3", "4", 4, ""), ("q", "1", "", "3", "4", 0, "")], "question string, opa string, opb string, opc string, opd string, cop int, exp string").coalesce(1)
+    assert texts(df, "medmcqa") == ["Question:\nq\n\nOptions:\nA. 1\nB. 2\nC. 3\nD. 4\n\nAnswer: C. 3\n\nExplanation:\nwhy"]
+    df = spark.createDataFrame([Row(question="q", context=Row(contexts=["a", " b "]), long_answer="l", final_decision="yes")])
+    assert texts(df, "pubmedqa") == ["Instruction:\nq\n\nInput:\na\nb\n\nResponse:\nYes. l"]
+    assert texts(spark.createDataFrame([("q", "c", "l")], "question string, context string, long_answer string"), "pubmedqa") == ["Instruction:\nq\n\nInput:\nc\n\nResponse:\nl"]
+
+
+def test_xml_sources(spark):
+    xml = "<PubmedArticle><PMID>7</PMID><ArticleTitle>T</ArticleTitle><Abstract><AbstractText Label='AIM'>x</AbstractText><AbstractText Label='END'>y</AbstractText></Abstract></PubmedArticle>"
+    df = spark.createDataFrame([(xml,)], "xml string").withColumn("source_index", F.lit(0))
+    out = Z.standardize(df, Z.Source("pubmed_abstracts", "p")).collect()[0]
+    assert out.text == "T\n\nAIM: x\nEND: y" and out.metadata["pmid"] == "7"
+    xml = "<article><front><article-title>T</article-title><license><p>under CC BY-NC 4.0</p></license></front><body><sec><p>one</p><p>two</p></sec></body></article>"
+    out = Z.standardize(spark.createDataFrame([(xml,)], "xml string").withColumn("source_index", F.lit(0)), Z.Source("pmc_open_access", "p")).collect()[0]
+    assert out.text == "T\n\none\n\ntwo" and out.license == "cc-by-nc"
+
+
+def test_json_lines(spark, tmp_path):
+    (tmp_path / "in.jsonl").write_text('{"id": "1", "text": " a "}\n\n{"id": "2", "text": ""}\n{"id": "3", "text": "b"}\n')
+    df = files.read_jsonl(spark, str(tmp_path / "in.jsonl"))
+    assert df.count() == 3
+    assert [r.text for r in files.read_texts(spark, str(tmp_path / "in.jsonl"), 1).collect()] == ["a"]
+    assert files.write_jsonl(df, str(tmp_path / "out")) == 3
+    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+        files.write_jsonl(df, str(tmp_path / "out"))
+    (tmp_path / "bad.jsonl").write_text('{"id": "1"\n')
+    with pytest.raises(Exception):
+        files.read_jsonl(spark, str(tmp_path / "bad.jsonl")).collect()
+
+
+def test_resumable_append(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"{i % 3}", "t") for i in range(6)], "ord long, id string, text string")
+    path = str(tmp_path / "sink")
+    assert files.append_unseen(df, path, "ord", most=2) == 2
+    assert files.append_unseen(df, path, "ord", most=5) == 1
+    assert files.append_unseen(df, path, "ord") == 0
+
+
+def test_corpus_and_manifest(spark, tmp_path):
+    df = spark.createDataFrame([(2, "b\nc"), (1, "a"), (3, " ")], "doc_id long, text string")
+    files.write_corpus(df, str(tmp_path / "c"), "doc_id")
+    before = files.manifest(spark, str(tmp_path / "c"))
+    before = spark.createDataFrame(before.collect(), before.schema)
+    assert [r.value for r in spark.read.text(str(tmp_path / "c")).collect()] == ["a", "b c"]
+    (tmp_path / "c" / "new.bin").write_bytes(b"x")
+    assert [r.change for r in files.changed(before, files.manifest(spark, str(tmp_path / "c"))).collect()] == ["added"]
+
+
+def test_shards(spark, tmp_path):
+    df = spark.createDataFrame([(i, list(range(i, i + 5))) for i in range(0, 50, 5)], "doc_id long, ids array<int>")
+    records = packing.pack(df, 4, per_shard=3)
+    made = shards.write_shards(records, str(tmp_path / "s"), 100).collect()
+    assert sorted((r.shard, r.records) for r in made) == [(0, 3), (1, 3), (2, 3), (3, 1)]
+    back = shards.read_shards(spark, str(tmp_path / "s"), 5, "uint16")
+    assert [r.tokens for r in back.orderBy("record").collect()] == [r.tokens for r in records.orderBy("record").collect()]
+    assert shards.at(back, -1).collect()[0].tokens == [45, 46, 47, 48, 49]
+    with pytest.raises(ValueError):
+        shards.read_shards(spark, str(tmp_path / "s"), 7, "uint16")
+
+
+def test_service_retries():
+    calls, waits = [], []
+
+    def send(url, body):
+        calls.append(body)
+        if len(calls) < 3:
+            raise urllib.error.HTTPError(url, 429, "later", {"Retry-After": "7"} if len(calls) == 1 else None, None)
+        return b"ok"
+
+    assert entrez.request("u", {"a": "b"}, send=send, sleep=waits.append) == b"ok" and waits == [7.0, 2.0]
+    with pytest.raises(urllib.error.HTTPError):
+        entrez.request("u", {}, send=lambda u, b: (_ for _ in ()).throw(urllib.error.HTTPError(u, 404, "no", None, None)), sleep=waits.append)
+
+
+def test_service_partitions(monkeypatch):
+    answers = {"esearch": json.dumps({"esearchresult": {"count": "3", "querykey": "1", "webenv": "w"}}).encode(), "efetch": b"<x/>"}
+    monkeypatch.setattr(entrez, "request", lambda url, fields, **k: answers["esearch" if "esearch" in url else "efetch"])
+    r = entrez.EntrezReader({"url": "http://x", "db": "d", "term": "t", "start": "2024/02/28", "end": "2024-03-01", "batch": "2"})
+    assert [p.day for p in r.partitions()] == ["2024-02-28", "2024-02-29", "2024-03-01"]
+    assert list(r.read(r.partitions()[0])) == [("2024-02-28", 0, "<x/>"), ("2024-02-28", 2, "<x/>")]
+    with pytest.raises(ValueError):
+        entrez.EntrezReader({"url": "x"})
+    with pytest.raises(ValueError):
+        entrez.days("2024-01-02", "2024-01-01")
+
+
+def test_streams(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("ts", F.timestamp_seconds(F.col("doc_id") * 60 + 1_700_000_000))
+    docs.write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))
+    q = stream.write_once(stream.distinct_stream(source, "ts", "365 days"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    q.awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == docs.select(T.squash(F.col("text"))).distinct().count()
+    q = stream.write_once(stream.clean_stream(source), str(tmp_path / "out2"), str(tmp_path / "cp2"))
+    q.awaitTermination(120)
+    assert 0 < spark.read.parquet(str(tmp_path / "out2")).count() < docs.count()
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.select("ts", "event_type", "value").write.parquet(str(tmp_path / "ev"))
+    feed = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(str(tmp_path / "ev"))
+    q = stream.windowed_counts(feed, "ts", "event_type").writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert spark.sql("select sum(n) s from counts").collect()[0].s == events.count()
+
+
+def test_stage_driver(spark, sf, tmp_path):
+    out = str(tmp_path / "run")
+    first = stages.run(spark, f"{sf}/documents.parquet", out, stop_after="near_dedup")
+    n = first.count()
+    last = stages.run(spark, f"{sf}/documents.parquet", out, start_at="language")
+    assert 0 < last.count() < n and {"quality_decision", "license_decision", "decision"} <= set(last.columns)
+    assert stages.chosen("quality", "license") == ["quality", "license"]
+    with pytest.raises(ValueError):
+        stages.chosen("license", "clean")
