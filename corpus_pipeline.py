@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import near, pack, pii, quality, suffix
 from millrace.llm.store import Scratch
+from millrace.session import table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +54,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir, each written to the shared folder and read again."""
     scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
