@@ -14,7 +14,7 @@ from .sql import ORACLES
 
 
 def op1_robust_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return ann.near_duplicates(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
 
 def op2_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def op6_licence_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_zip_warc_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+    return warc.archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_weakly_supervised_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def op8_weakly_supervised_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near.near_duplicates(table(spark, sf_dir, "documents"))
+    return near.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op10_robust_outlier_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,22 @@
-"""DuckDB twins of the training-data queries that SQL can express."""
+"""DuckDB twins of the training-data queries that SQL can express.
 
-ORACLES: dict[str, str] = {}
+The others rest on trained models, tokenizers or robust estimates; their tests hold them against plain Python.
+"""
+
+_REACH = "r AS (SELECT a AS k, a AS v FROM l UNION SELECT r.k, l.b FROM r JOIN l ON l.a = r.v), c AS (SELECT k, min(v) AS root FROM r GROUP BY 1)"
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+ORACLES: dict[str, str] = {
+    "op1_robust_pruned_graph": f"""WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE embedding IS NOT NULL AND list_sum(list_transform(embedding, lambda x: x * x)) > 0),
+      l AS (SELECT p.vec_id AS a, q.vec_id AS b FROM e p JOIN e q ON p.vec_id <> q.vec_id AND list_cosine_similarity(p.x, q.x) >= 0.9), {_REACH}
+      SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(root, vec_id)) AS component_id, least(vec_id, coalesce(root, vec_id)) = vec_id AS kept
+      FROM embeddings LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1) USING (vec_id) LEFT JOIN c ON c.k = vec_id""",
+    "op7_zip_warc_reader": """SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to
+      FROM (SELECT *, payload_bytes >= 100 AND page_id > first AS again FROM (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages))""",
+    "op9_setsketch_near_dedup": f"""WITH RECURSIVE w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM (SELECT doc_id, {_WORDS} AS ws FROM documents)),
+      g AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS s FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE s IS NOT NULL
+        UNION ALL SELECT doc_id, string_agg(w, ' ' ORDER BY i) FROM w WHERE n < 5 GROUP BY 1),
+      n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1), p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM g x JOIN g y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+      l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)), {_REACH}
+      SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(root, doc_id)) AS component_id, least(doc_id, coalesce(root, doc_id)) = doc_id AS kept FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.k = doc_id""",
+}
