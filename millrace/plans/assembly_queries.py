@@ -34,7 +34,7 @@ def token_budget_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT t.source, t.documents, t.tokens, coalesce(x.n, 0) AS excluded_documents, t.tokens < 9000 AS exhausted FROM (SELECT source, count(*) AS documents, sum(tokens) AS tokens FROM ({RUN}) WHERE rn = 1 OR total <= 9000 GROUP BY 1) t
-LEFT JOIN (SELECT d.source, count(*) AS n FROM documents d LEFT JOIN (SELECT source, min(CASE WHEN (rn > 1 AND total > 9000) OR total >= 9000 THEN doc_id END) AS stop FROM ({RUN}) GROUP BY 1) s USING (source) WHERE d.{EXCLUDED} AND d.doc_id < coalesce(s.stop, 1 << 62) GROUP BY 1) x USING (source)""")
+LEFT JOIN (SELECT d.source, count(*) AS n FROM documents d LEFT JOIN (SELECT source, min(CASE WHEN (rn > 1 AND total > 9000) OR total >= 9000 THEN doc_id END) AS stop FROM ({RUN}) GROUP BY 1) s USING (source) WHERE d.{EXCLUDED} AND d.doc_id < coalesce(s.stop, 4611686018427387904) GROUP BY 1) x USING (source)""")
 def token_budget_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _budget(spark, sf_dir)[1].select("source", "documents", "tokens", "excluded_documents", "exhausted")
 
