@@ -10,9 +10,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from array import array
 from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
 
 import pyarrow as pa
 import regex
@@ -30,7 +30,7 @@ class Recent:
 
     __slots__ = ("most", "old", "young")
 
-    def __init__(self, most: int = 800_000):
+    def __init__(self, most: int = 1_200_000):
         self.most, self.young, self.old = most // 2, {}, {}
 
     def get(self, key: str) -> bytes | bool | None:
@@ -86,8 +86,10 @@ class Coder:
             low = bits & -bits
             rank = (leaf << LEAF) + low.bit_length() - 1
             held = buckets[rank]
-            i = heapq.heappop(held)
-            if not held:
+            if len(held) > 1:
+                i = heappop(held)
+            else:
+                i = held[0]
                 del buckets[rank]
                 leaves[leaf] = bits ^ low
                 if bits == low:
@@ -105,7 +107,7 @@ class Coder:
             while True:
                 if r >= 0:
                     if r in buckets:
-                        heapq.heappush(buckets[r], i)
+                        heappush(buckets[r], i)
                     else:
                         buckets[r] = [i]
                         leaf = r >> LEAF
@@ -148,7 +150,7 @@ class ChunkCache:
     begins or ends with white space is encoded as a whole. encode_many gives the ids of strings as bytes.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], most: int = 800_000):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], most: int = 1_200_000):
         self.encode_many = encode_many
         self.first, self.later = Recent(most // 8), Recent(most)
 
