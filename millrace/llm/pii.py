@@ -82,7 +82,7 @@ _LOOSE = {
     4: (re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), None),
     5: (re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])"), None),
     6: (re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:])"), None),
-    7: (re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key)\b[\"']?\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9_/+.-]{16,200}"), None),
+    7: (re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key)\b[\"']?\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9_/+.-]{16,}+"), None),
     8: (re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra?)\.? [^\W\d_a-z][^\W\d_]{1,30}(?: [^\W\d_a-z][^\W\d_]{1,30})?"), ("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme", "Sr")),
 }
 _CONTEXT = {
@@ -101,7 +101,7 @@ def _votes(kind: int, text: str, start: int, end: int) -> str:
     found = text[start:end]
     d = digits(found)
     # regex: the strict form of the kind
-    strict = {0: "(at)" in found or "[at]" in found, 2: len(found) in (16, 19), 3: found[0] == "(" or found[3:4] == found[7:8], 4: True, 5: " " not in found or found[4:5] == " ", 6: True, 7: bool(re.search(r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]", found.split("=")[-1].split(":")[-1])), 8: "." in found}[kind]
+    strict = {0: "(at)" in found or "[at]" in found, 2: len(found) in (16, 19), 3: found[0] == "(" or found[3:4] == found[7:8], 4: True, 5: " " not in found or found[4:5] == " ", 6: True, 7: all(re.search(x, found.split("=")[-1].split(":")[-1]) for x in ("[0-9]", "[A-Za-z]")), 8: "." in found}[kind]
     # checksum
     check = "0"
     if kind == 2:

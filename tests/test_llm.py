@@ -1,0 +1,22 @@
+"""The training-data operators do the whole job: cases that a cut or a cap would change."""
+
+import time
+
+from millrace.llm import pii
+
+
+def test_long_secret_is_one_span(spark):
+    value = "aB3." * 1500  # longer than any bound on a token
+    text = f"config token = {value} and more"
+    start = text.index("token")
+    assert [x[:3] for x in pii.proposals(text, pii.base_spans(text)) if x[0] == 7] == [(7, start, text.index(" and more"))]
+    docs = spark.createDataFrame([(i, f"note {i} password = {value}x{i} end") for i in range(8)], "doc_id long, text string")
+    left = [r["text"] for r in pii.redact(docs).orderBy("doc_id").collect()]
+    assert left == [f"note {i} [SECRET] end" for i in range(8)]
+
+
+def test_long_secret_takes_linear_time():
+    text = "1 token = " + "a" * 400_000
+    began = time.monotonic()
+    assert [x[1:3] for x in pii.proposals(text, []) if x[0] == 7] == [(2, len(text))]
+    assert time.monotonic() - began < 20
