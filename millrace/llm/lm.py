@@ -5,11 +5,15 @@ Training, over all training documents:
 2. the most frequent SYMBOLS words are symbols of their own and every other word is the symbol of its shape (length,
    kinds of its first and last byte), so the counts of symbol pairs are a table of bounded size. Exchange clustering
    moves symbols between CLASSES classes while that raises the likelihood of the pair counts;
-3. a word belongs to its symbol's class. P(w | previous) = P(class | previous class) * P(w | class), both smoothed by
-   additive constants; each class keeps one unseen word's mass, so the model is a distribution over an open vocabulary.
-
-Scoring: transitions and the words of a head of at most HEAD entries (a bounded broadcast) are scored where the text is
-read; the counts of all other words come from the distributed table by a join.
+3. the classes of the symbols are the seed of an exchange sweep over all other words: every one is counted with the
+   classes of its left and right neighbours, in a table that grows with the vocabulary and stays distributed, and goes
+   to the class that makes these counts likeliest. Only a word that training has not seen has the class of its shape;
+4. P(w | previous) = P(class | previous class) * P(w | class), both smoothed by additive constants; each class keeps one
+   unseen word's mass, so the model is a distribution over an open vocabulary. Transitions are counted anew with the
+   classes of all words.
+
+Words of a head of at most HEAD entries (a bounded broadcast) get their classes and counts where the text is read; those
+of all other words come from the distributed table by a join. A text's classes are kept as a byte a token.
 """
 
 from __future__ import annotations
@@ -147,20 +151,18 @@ class Model:
     distinct: int
     head: np.ndarray  # sorted fingerprints
     head_n: np.ndarray
-    head_symbol: np.ndarray  # -1: the word's shape
-    symbol_class: np.ndarray
-    transition: np.ndarray  # log10 P(class | previous class)
+    head_class: np.ndarray
+    shape_class: np.ndarray  # of unseen words
     mass: np.ndarray  # log10 of each class's emission denominator
     end_class: int
 
-    def symbols(self, prints: np.ndarray, shape: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(symbol, count, in the head) of tokens."""
+    def lookup(self, prints: np.ndarray, shape: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(class, count, in the head) of tokens; words outside the head have the class of their shape for now."""
         if not len(self.head):
-            return SYMBOLS + shape, np.zeros(len(prints), np.int64), np.zeros(len(prints), bool)
+            return self.shape_class[shape], np.zeros(len(prints), np.int64), np.zeros(len(prints), bool)
         at = np.minimum(np.searchsorted(self.head, prints), len(self.head) - 1)
         known = self.head[at] == prints
-        own = np.where(known, self.head_symbol[at], -1)
-        return np.where(own >= 0, own, SYMBOLS + shape), np.where(known, self.head_n[at], 0), known
+        return np.where(known, self.head_class[at], self.shape_class[shape]), np.where(known, self.head_n[at], 0), known
 
 
 def count_pairs(train: DataFrame, named: np.ndarray, index: np.ndarray) -> np.ndarray:
@@ -188,6 +190,111 @@ def count_pairs(train: DataFrame, named: np.ndarray, index: np.ndarray) -> np.nd
     return pairs.reshape(size, size)
 
 
+def count_contexts(train: DataFrame, named: np.ndarray, index: np.ndarray, of: np.ndarray) -> DataFrame:
+    """(print, shape, cells, ns): for every word without a symbol of its own, partial counts of left (cell: the class) and right (CLASSES more) classes."""
+    shared = train.sparkSession.sparkContext.broadcast((named, index, of))
+    sides = 2 * CLASSES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, symbol, of = shared.value
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            p, s, cell, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            u, first, inverse = np.unique(p, return_index=True, return_inverse=True)
+            keys, at = np.unique(inverse * sides + cell, return_inverse=True)
+            word = keys // sides
+            return u[word], s[first][word], keys % sides, np.bincount(at, n, len(keys)).astype(np.int64)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            p, s, cell, n = held[0]
+            first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(p) else np.zeros(0, np.int64)
+            ends = np.append(first[1:], len(p))
+            for i in range(0, len(first), 50_000):
+                f, e = first[i : i + 50_000], ends[i : i + 50_000]
+                offsets = pa.array(np.append(f, e[-1]) - f[0], pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x[f[0] : e[-1]], t)) for x, t in ((cell, pa.int16()), (n, pa.int64()))]
+                yield pa.record_batch([pa.array(p[f].view(np.int64)), pa.array(s[f].astype(np.int32)), *lists], ["print", "shape", "cells", "ns"])
+
+        for batch in slices(batches, "text"):
+            p, s, offsets = tokens(batch.column("text"))
+            at = np.minimum(np.searchsorted(known, p), len(known) - 1)
+            own = known[at] == p
+            c = of[np.where(own, symbol[at], SYMBOLS + s)]
+            before, after = np.empty_like(c), np.empty_like(c)
+            before[1:], after[:-1] = c[:-1], c[1:]
+            before[offsets[:-1]] = c[-1]  # a text begins after an end
+            after[offsets[1:] - 1] = c[offsets[:-1]]  # an end stands before its own text
+            rare = np.flatnonzero(~own)
+            held.append((np.tile(p[rare], 2), np.tile(s[rare], 2), np.concatenate([before[rare], CLASSES + after[rare]]), np.ones(2 * len(rare), np.int64)))
+            size += 2 * len(rare)
+            if size > 1_500_000:
+                held[:] = [merged()]
+                size = len(held[0][0])
+                if size > 1_000_000:
+                    yield from out()
+                    held.clear()
+                    size = 0
+        if held:
+            held[:] = [merged()]
+            yield from out()
+
+    return train.select("text").mapInArrow(run, "print long, shape int, cells array<short>, ns array<long>")
+
+
+def best_classes(contexts: np.ndarray, old: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The class of each word that makes its counts of left and right classes (one row of 2 * k) likeliest, in a table of class pairs that holds them under old."""
+    k = len(table)
+    left, right = contexts[:, :k], contexts[:, k:]
+    into, out = table.sum(axis=0), table.sum(axis=1)
+    to = np.log(table + TRANSITION)
+    gain = left @ to + right @ to.T - left.sum(axis=1, keepdims=True) * np.log(into + TRANSITION * k) - right.sum(axis=1, keepdims=True) * np.log(out + TRANSITION * k)
+    # its own counts don't speak for the class that a word is in
+    n, m, rows = left.sum(axis=1), right.sum(axis=1), np.arange(len(old))
+    own = (left * np.log(np.maximum(table.T[old] - left, 0) + TRANSITION)).sum(axis=1) + (right * np.log(np.maximum(table[old] - right, 0) + TRANSITION)).sum(axis=1)
+    own -= n * np.log(np.maximum(into[old] - n, 0) + TRANSITION * k) + m * np.log(np.maximum(out[old] - m, 0) + TRANSITION * k)
+    gain[rows, old] = own
+    best = gain.argmax(axis=1)
+    return np.where(gain[rows, best] > own + 1e-9, best, old)
+
+
+def assign(contexts: DataFrame, table: np.ndarray, shape_class: np.ndarray) -> DataFrame:
+    """(print, class, n) of every word of contexts: one exchange sweep over them all, a task for some of the words at a time."""
+    k, sides = len(table), 2 * CLASSES
+    columns = np.concatenate([np.arange(k), CLASSES + np.arange(k)])
+
+    def made(p: np.ndarray, s: np.ndarray, cell: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+        ends = np.append(first[1:], len(p))
+        for i in range(0, len(first), 4096):
+            f, e = first[i : i + 4096], ends[i : i + 4096]
+            word = np.repeat(np.arange(len(f)), e - f)
+            dense = np.bincount(word * sides + cell[f[0] : e[-1]], n[f[0] : e[-1]], len(f) * sides).reshape(len(f), sides)[:, columns]
+            c = best_classes(dense, shape_class[s[f]], table)
+            yield pa.record_batch([pa.array(p[f]), pa.array(c.astype(np.int32)), pa.array(dense[:, :k].sum(axis=1).astype(np.int64))], ["print", "class", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[np.ndarray, ...] | None = None  # the last word so far, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lengths = batch.column("cells").value_lengths().to_numpy()
+            new = [np.repeat(batch.column(x).to_numpy(), lengths) for x in ("print", "shape")] + [batch.column(x).flatten().to_numpy().astype(np.int64) for x in ("cells", "ns")]
+            p, s, cell, n = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            last = int(np.searchsorted(p, p[-1]))
+            if last:
+                yield from made(p[:last], s[:last], cell[:last], n[:last])
+            sums = np.bincount(cell[last:], n[last:], sides)
+            cells = np.flatnonzero(sums)
+            held = (np.full(len(cells), p[-1]), np.full(len(cells), s[last:].min()), cells, sums[cells].astype(np.int64))
+        if held is not None:
+            yield from made(*held)
+
+    sorted_words = contexts.repartition("print").sortWithinPartitions("print")
+    return sorted_words.mapInArrow(run, "print long, class int, n long")
+
+
 def train_model(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
     """The model of the rows of split() that aren't held out, and the table (print, shape, n) of all training tokens."""
     train = docs.where("not held_out")
@@ -196,40 +303,50 @@ def train_model(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
     n, words = (levels.column(c).to_numpy() for c in ("n", "words"))
     within = np.cumsum(words) <= HEAD
     least = int(n[within][-1]) if within.any() else int(n.max(initial=0)) + 1
-    head = counts.where(F.col("n") >= least).toArrow()
-    prints, head_n = head.column("print").to_numpy().view(np.uint64), head.column("n").to_numpy()
+    most = counts.orderBy(F.desc("n"), "print").limit(SYMBOLS).toArrow()
+    prints, named_n = most.column("print").to_numpy().view(np.uint64), most.column("n").to_numpy()
     order = np.argsort(prints)
-    prints, head_n = prints[order], head_n[order]
-    frequent = np.lexsort((prints, -head_n))[:SYMBOLS]
-    symbol = np.full(len(prints), -1)
-    symbol[frequent] = np.arange(len(frequent))
-    named = np.sort(frequent)
+    named, symbol = prints[order], np.arange(len(prints))[order]
     size = SYMBOLS + SHAPES
-    pairs = count_pairs(train, prints[named], symbol[named]) if len(named) else np.zeros((size, size))
+    pairs = count_pairs(train, named, symbol) if len(named) else np.zeros((size, size))
     of = exchange(pairs)
     k = int(of.max(initial=0)) + 1
     member = np.zeros((size, k))
     member[np.arange(size), of] = 1
-    table = member.T @ pairs @ member
-    transition = np.log10((table + TRANSITION) / (table.sum(axis=1, keepdims=True) + TRANSITION * k))
-    # tokens and distinct words of each class: named words one by one, the rest by shape
-    held, kinds = np.zeros(k), np.zeros(k)
-    np.add.at(held, of[symbol[named]], head_n[named])
-    np.add.at(kinds, of[symbol[named]], 1)
-    by_shape = counts.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("words")).toArrow().to_pydict()
-    rest = {s: [a, b] for s, a, b in zip(by_shape["shape"], by_shape["n"], by_shape["words"], strict=True)}
-    shape_of = dict(zip(head.column("print").to_pylist(), head.column("shape").to_pylist(), strict=True))
-    for i in named:
-        own = rest[shape_of[int(prints[i : i + 1].view(np.int64)[0])]]
-        own[0] -= int(head_n[i])
-        own[1] -= 1
-    for s, (a, b) in rest.items():
-        held[of[SYMBOLS + s]] += a
-        kinds[of[SYMBOLS + s]] += b
-    end = np.searchsorted(prints, END)
-    end_symbol = symbol[end] if end < len(prints) and prints[end] == END and symbol[end] >= 0 else SYMBOLS
-    model = Model(int((n * words).sum()), int(words.sum()), prints, head_n, symbol, of, transition, np.log10(held + EMISSION * (kinds + 1)), int(of[end_symbol]))
-    return model, counts.where(F.col("n") < least)
+    shape_class = of[SYMBOLS:]
+    lexicon = docs.sparkSession.createDataFrame([(int(p), int(c), int(x)) for p, c, x in zip(prints.view(np.int64), of[: len(prints)], named_n, strict=True)], "print long, class int, n long")
+    if len(named):
+        lexicon = lexicon.union(assign(count_contexts(train, named, symbol, of), member.T @ pairs @ member, shape_class))
+    lexicon = scratch.save(lexicon, "lexicon")
+    head = lexicon.where(F.col("n") >= least).toArrow()
+    prints, head_n, head_class = head.column("print").to_numpy().view(np.uint64), head.column("n").to_numpy(), head.column("class").to_numpy()
+    order = np.argsort(prints)
+    prints, head_n, head_class = prints[order], head_n[order], head_class[order].astype(np.int64)
+    held, kinds = np.zeros(k), np.zeros(k)  # tokens and distinct words of each class
+    for r in lexicon.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
+        held[r["class"]], kinds[r["class"]] = r["n"], r["words"]
+    end = lexicon.where(F.col("print") == int(END.view(np.int64))).collect()
+    model = Model(int((n * words).sum()), int(words.sum()), prints, head_n, head_class, shape_class, np.log10(held + EMISSION * (kinds + 1)), int(end[0]["class"]) if end else int(shape_class[0]))
+    return model, lexicon.where(F.col("n") < least)
+
+
+def transitions(coded: DataFrame, k: int, end: int) -> np.ndarray:
+    """log10 P(class | previous class), from the classes of all training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k, np.int64)
+        for batch in batches:
+            for code in batch.column("codes").to_pylist():
+                c = np.frombuffer(code, np.uint8).astype(np.int64)
+                total += np.bincount(np.append(end, c[:-1]) * k + c, minlength=k * k)
+        cells = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(cells.astype(np.int32)), pa.array(total[cells])], ["cell", "n"])
+
+    cells = coded.where("not held_out").select("codes").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(k * k)
+    table[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+    table = table.reshape(k, k)
+    return np.log10((table + TRANSITION) / (table.sum(axis=1, keepdims=True) + TRANSITION * k))
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -250,36 +367,67 @@ def score(docs: DataFrame) -> DataFrame:
         m, row = shared.value, TaskContext.get().partitionId() << 32
         for batch in slices(batches, "text"):
             p, s, offsets = tokens(batch.column("text"))
-            symbol, n, known = m.symbols(p, s)
-            c = m.symbol_class[symbol]
-            before = np.empty_like(c)
-            before[1:] = c[:-1]
-            before[offsets[:-1]] = m.end_class
+            c, n, known = m.lookup(p, s)
             base = np.where(known, np.log10(n + UNIGRAM) - floor, 0.0)
-            value = m.transition[before, c] - m.mass[c] + np.where(known, np.log10(n + EMISSION), 0.0)
+            value = np.where(known, np.log10(n + EMISSION), 0.0)
             start = offsets[:-1]
             rare = np.flatnonzero(~known)
             held = np.searchsorted(rare, offsets).astype(np.int32)
+            codes = c.astype(np.uint8)
             yield pa.record_batch(
                 [
                     pa.array(np.arange(row, row + batch.num_rows)), batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(offsets)),
                     pa.array(np.add.reduceat(known, start, dtype=np.int64)), pa.array(np.add.reduceat(base, start)), pa.array(np.add.reduceat(value, start)),
+                    pa.array([codes[i:j].tobytes() for i, j in zip(start.tolist(), offsets[1:].tolist(), strict=True)], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(held), pa.array(p[rare].view(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(held), pa.array((rare - np.repeat(start, np.diff(held))).astype(np.int32))),
                 ],
-                ["row", "doc_id", "held_out", "n_tokens", "known", "base", "value", "rare"],
+                ["row", "doc_id", "held_out", "n_tokens", "known", "base", "value", "codes", "rare", "places"],
             )
             row += batch.num_rows
 
-    rows = scratch.save(docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, value double, rare array<long>"), "rows")
-    rare = rows.select("row", F.explode("rare").alias("print"))
-    counted = rare.hint("merge").join(tail.select("print", "n"), "print", "left")
-    n = F.coalesce(F.col("n"), F.lit(0))
-    added = counted.groupBy("row").agg(
-        F.sum(F.when(n > 0, 1).otherwise(0)).alias("k"), F.sum(F.log10(n + UNIGRAM) - floor).alias("b"), F.sum(F.log10(n + EMISSION)).alias("v")
-    )
-    out = rows.drop("rare").hint("merge").join(added, "row", "left")
-    total = F.col("value") + F.coalesce("v", F.lit(0.0))
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = batch.column("codes").to_pylist()
+            found = batch.column("found")
+            lengths = found.value_lengths().fill_null(0).to_numpy()
+            flat = found.flatten()
+            at, c = (flat.field(i).to_numpy() for i in range(2))
+            begins = np.cumsum(lengths) - lengths
+            for i in np.flatnonzero(lengths).tolist():
+                j = int(begins[i])
+                x = np.frombuffer(codes[i], np.uint8).copy()
+                x[at[j : j + lengths[i]]] = c[j : j + lengths[i]]
+                codes[i] = x.tobytes()
+            yield pa.record_batch([*(batch.column(x) for x in fixed), pa.array(codes, pa.binary())], [*fixed, "codes"])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, moves = shared.value, steps.value
+        for batch in batches:
+            value = batch.column("value").to_numpy().copy()
+            for i, code in enumerate(batch.column("codes").to_pylist()):
+                c = np.frombuffer(code, np.uint8)
+                value[i] += (moves[np.append(np.uint8(m.end_class), c[:-1]), c] - m.mass[c]).sum()
+            yield pa.record_batch([*(batch.column(x) for x in fixed[:-1]), pa.array(value)], fixed)
+
+    fixed = ["doc_id", "held_out", "n_tokens", "n_known", "base", "value"]
+    columns = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, value double"
+    rows = scratch.save(docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, value double, codes binary, rare array<long>, places array<int>"), "rows")
+    rare = rows.select("row", F.explode(F.arrays_zip("places", "rare")).alias("x")).select("row", F.col("x.places").alias("at"), F.col("x.rare").alias("print"))
+    added = rare.hint("merge").join(tail, "print").groupBy("row").agg(
+        F.count("*").alias("k"), F.sum(F.log10(F.col("n") + UNIGRAM) - floor).alias("b"), F.sum(F.log10(F.col("n") + EMISSION)).alias("v"),
+        F.collect_list(F.struct("at", F.col("class").alias("c"))).alias("found"),
+    )
+    zero = F.lit(0.0)
+    joined = rows.drop("rare", "places").hint("merge").join(added, "row", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"), (F.col("base") + F.coalesce("b", zero)).alias("base"),
+        (F.col("value") + F.coalesce("v", zero)).alias("value"), "codes", "found",
+    )
+    coded = scratch.save(joined.mapInArrow(place, f"{columns}, codes binary"), "coded")
+    scratch.drop(rows)
+    steps = docs.sparkSession.sparkContext.broadcast(transitions(coded, len(model.mass), model.end_class))
+    out = coded.mapInArrow(walk, columns)
     return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"), total.alias("score"), F.pow(F.lit(10.0), -total / F.col("n_tokens")).alias("perplexity"),
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"),
+        F.col("value").alias("score"), F.pow(F.lit(10.0), -F.col("value") / F.col("n_tokens")).alias("perplexity"),
     )

@@ -2,7 +2,11 @@
 
 import time
 
-from millrace.llm import pii
+import numpy as np
+import pyarrow as pa
+
+from millrace.llm import lm, pii, words as W
+from millrace.llm.store import Scratch
 
 
 def test_long_secret_is_one_span(spark):
@@ -20,3 +24,26 @@ def test_long_secret_takes_linear_time():
     began = time.monotonic()
     assert [x[1:3] for x in pii.proposals(text, []) if x[0] == 7] == [(2, len(text))]
     assert time.monotonic() - began < 20
+
+
+def test_rare_words_get_classes_from_their_contexts(spark):
+    # more frequent words than symbols, in two kinds that alternate; the rare words are of one shape
+    a, b = ([f"{x}{i}" for i in range(600)] for x in ("ka", "9z"))
+    rare = {f"q{i:03d}w": int(i > 0) for i in range(40)}  # the first has other neighbours than the rest
+    texts = [" ".join(w for i in range(600) for w in (a[(i * 7 + r) % 600], b[(i * 11 + r) % 600])) for r in range(12)]
+    texts += [f"{b[0]} {w} {b[1]} {b[0]} {w} {b[1]}" if kind else f"{a[0]} {w} {a[1]} {a[0]} {w} {a[1]}" for w, kind in rare.items()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("held_out", lm.F.lit(False))
+    model, _ = lm.train_model(docs, Scratch(spark, "test"))
+    prints = W.Words(pa.array([" ".join(rare)])).prints
+    of = model.head_class[np.searchsorted(model.head, prints)]
+    kinds = np.array(list(rare.values()))
+    assert set(of[kinds == 0]).isdisjoint(of[kinds == 1])
+
+
+def test_words_beyond_the_head_keep_their_classes(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    whole = {r["doc_id"]: r for r in lm.score(docs).collect()}
+    monkeypatch.setattr(lm, "HEAD", 1000)
+    for r in lm.score(docs).collect():
+        for c in ("n_tokens", "n_known", "base_score", "score"):
+            assert abs(r[c] - whole[r["doc_id"]][c]) < 1e-6 * (1 + abs(r[c]))
