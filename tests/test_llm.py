@@ -5,7 +5,7 @@ import time
 import numpy as np
 import pyarrow as pa
 
-from millrace.llm import lm, pii, words as W
+from millrace.llm import license, lm, pii, words as W
 from millrace.llm.store import Scratch
 
 
@@ -47,3 +47,18 @@ def test_words_beyond_the_head_keep_their_classes(spark, sf, monkeypatch):
     for r in lm.score(docs).collect():
         for c in ("n_tokens", "n_known", "base_score", "score"):
             assert abs(r[c] - whole[r["doc_id"]][c]) < 1e-6 * (1 + abs(r[c]))
+
+
+def test_wrapped_notices(spark):
+    texts = {
+        "gpl-3": "Some prose stands here.\nThis work is licensed under the GNU General Public License,\nversion 3.\nMore prose stands there.",
+        "gpl-2": "This work is licensed under the GNU General Public License,\nversion 2.",
+        "proprietary": "No part of this publication may be reproduced without the prior\nwritten permission of the publisher.",
+        "cc0": "The author has dedicated the work to the public\ndomain by waiving all rights under\nCC0 1.0 Universal",
+        "lgpl": "under the terms of the GNU Lesser\nGeneral Public License as published by the\nFree Software Foundation",
+        "apache-2.0,mit": "SPDX-License-Identifier: MIT\nThe river was high.\nSPDX-License-Identifier: Apache-2.0",
+        "": "The river was high.\nThe boats stayed away.",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
+    got = [r["families"] for r in license.scan(docs).orderBy("doc_id").collect()]
+    assert got == list(texts)
