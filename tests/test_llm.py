@@ -7,6 +7,7 @@ import pyarrow as pa
 
 from millrace.llm import license, lm, pii, words as W
 from millrace.llm.store import Scratch
+from millrace.plans import assembly_queries
 
 
 def test_long_secret_is_one_span(spark):
@@ -62,3 +63,10 @@ def test_wrapped_notices(spark):
     docs = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
     got = [r["families"] for r in license.scan(docs).orderBy("doc_id").collect()]
     assert got == list(texts)
+
+
+def test_pairs_of_prompts_with_one_opening(spark, tmp_path):
+    rows = [(c, turn, role, text) for c, end in ((1, "red"), (3, "blue")) for turn, (role, text) in enumerate([("user", "Please answer " * 8 + end), ("assistant", "Yes.")])]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["ord"]: r["rejection"] for r in assembly_queries.sft_dedup_pairs(spark, str(tmp_path)).collect()}
+    assert got == {1: None, 3: None, 1000001: "duplicate_id", 1000003: "duplicate_id"}
