@@ -68,6 +68,46 @@ def test_whole_documents_table(spark, sf):
     assert got(near.near_duplicates(df)) == brute(rows)
 
 
+def test_edges_of_a_family(spark):
+    """About one edge for each near copy, and the components of all buckets."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(600):
+        w = list(words)
+        for _ in range(rng.randrange(1, 6)):
+            w[rng.randrange(400)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = near.sketch(df).select(near.F.col("doc_id").alias("rep"), near.F.explode("keys").alias("key"))
+    edges = [(r.a, r.b) for r in near.stars(dealt).collect()]
+    assert len(edges) < 2 * len(rows)
+    assert near.near_duplicates(df, family=50).where("kept").count() == len({c for _, c in brute(rows).values()})
+    buckets = {}
+    for r in dealt.collect():
+        buckets.setdefault(r.key, []).append(r.rep)
+    up = list(range(600))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    def parts(pairs):
+        up[:] = range(600)
+        for a, b in pairs:
+            up[max(root(a), root(b))] = min(root(a), root(b))
+        return [root(i) for i in range(600)]
+
+    assert parts(edges) == parts((b[0], x) for b in buckets.values() for x in b[1:])
+
+
+def test_bands_keep_the_escape_probability():
+    for percent in (60, 80, 85, 90):
+        count, rows = near.bands(percent)
+        assert (1 - (percent / 100) ** rows) ** count <= near.ESCAPE
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert near.near_duplicates(empty).collect() == []
