@@ -11,7 +11,9 @@ and a lost task gives the same rows again.
 
 from __future__ import annotations
 
+import itertools
 import json
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -32,6 +34,11 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: Fixed value: the pre-token pattern that byte-level tokenizer files of this kind mean by use_regex.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Fixed value: white space as \s of PATTERN has it.
+SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG = 1000  # longer runs of white space are encoded apart, as the pattern's look-ahead keeps a stack entry a character
+_LONG_RUN = re.compile(f"[{SPACE}]{{{LONG},}}")
+
 _encodings: dict[str, tiktoken.Encoding] = {}
 
 
@@ -39,11 +46,18 @@ def encoding(path: str) -> tiktoken.Encoding:
     """One encoder for each worker process and byte-level BPE file of the tokenizers library.
 
     The file's merges come in the order of their ids, so its vocabulary can be run as ranks, which is several times as
-    fast and gives the same ids; added tokens are recognised in the text, as that library does.
+    fast and gives the same ids; added tokens are recognised in the text, as that library does. A file that isn't of
+    this kind is refused.
     """
     if path not in _encodings:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        before, model = spec["pre_tokenizer"] or {}, spec["model"]
+        if spec["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or model["type"] != "BPE":
+            raise ValueError(f"{path} isn't a plain byte-level BPE tokenizer")
+        merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        if any(model["vocab"][a] >= model["vocab"][b] for a, b in itertools.pairwise(merged)):
+            raise ValueError(f"the merges of {path} are not in the order of their ids")
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -52,6 +66,24 @@ def encoding(path: str) -> tiktoken.Encoding:
     return _encodings[path]
 
 
+def encode(tokenizer: tiktoken.Encoding, text: str) -> np.ndarray:
+    """The ids of a text, whatever it holds.
+
+    The pattern takes a run of white space before other text without its last character, which goes with what follows,
+    and a run at the end, or before an added token, whole; a long run is cut out at these places and merged as the one
+    piece that it is.
+    """
+    parts, at, added = [], 0, tuple(tokenizer.special_tokens_set)
+    for run in _LONG_RUN.finditer(text):
+        end = run.end() - (run.end() < len(text) and not text.startswith(added, run.end()))
+        parts.append(tokenizer.encode_to_numpy(text[at : run.start()], allowed_special="all"))
+        parts.append(np.array(tokenizer._encode_single_piece(text[run.start() : end]), np.uint32))
+        at = end
+    if not parts:
+        return tokenizer.encode_to_numpy(text, allowed_special="all")
+    return np.concatenate([*parts, tokenizer.encode_to_numpy(text[at:], allowed_special="all")])
+
+
 class Piece:
     """A run of one document's ids."""
 
@@ -188,7 +220,7 @@ def pack(docs: DataFrame, path: str, eos: int = 1, tiers: tuple[int, ...] = TIER
         packer = Packer(emit, tiers)
         for batch in slices(batches, "text", 1 << 20):
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").fill_null("").to_pylist(), strict=True):
-                packer.add(doc, np.append(tokenizer.encode_to_numpy(text, allowed_special="all"), np.uint32(eos)).astype("<u4", copy=False))
+                packer.add(doc, np.append(encode(tokenizer, text), np.uint32(eos)).astype("<u4", copy=False))
             packer.fill()
             yield table()
         packer.finish()

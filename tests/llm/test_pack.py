@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 from tokenizers import Tokenizer
 
 from millrace.llm import pack
@@ -61,9 +62,24 @@ def test_edges(spark):
 def test_same_ids_as_the_tokenizers_library():
     own, t, rng = pack.encoding(FILE), Tokenizer.from_file(FILE), random.Random(5)
     texts = [own.decode([i]) for i in range(own.n_vocab)]
-    texts += ["".join(rng.choice(["a", "the", " ", "  ", "\n", "\t", "'s", "é", "漢", "🎉", "1", "!!", "<|endoftext|>", "\x85", "\x1c", "x" * 150]) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    texts += ["".join(rng.choice(["a", "the", " ", "  ", "\n", "\t", "'s", "é", "漢", "🎉", "1", "!!", "<|endoftext|>", "\x85", "\x1c", "x" * 150, "\n" * 1500, " " * 1001, "\u2003" * 1200]) for _ in range(rng.randrange(40))) for _ in range(3000)]
     want = t.encode_batch_fast(texts, add_special_tokens=False)
-    assert all(own.encode_to_numpy(x, allowed_special="all").tolist() == w.ids for x, w in zip(texts, want, strict=True))
+    assert all(pack.encode(own, x).tolist() == w.ids for x, w in zip(texts, want, strict=True))
+
+
+def test_very_long_white_space(spark):
+    own, t = pack.encoding(FILE), Tokenizer.from_file(FILE)
+    million = 1_000_000
+    texts = ["\n" * 2 * million, " " * 2 * million, "a" + " \n\t" * 700_000 + "b", " " * million + "b" + "\n" * million + " c", "x \x1c" + "\u3000" * million, "a" * million + "1" * million + "#" * million]
+    for x in texts:
+        assert pack.encode(own, x).tolist() == t.encode(x, add_special_tokens=False).ids
+    held = {i: x for i, x in enumerate(texts[2:5])}
+    holds(pack.pack(spark.createDataFrame(list(held.items()), "doc_id long, text string"), FILE).collect(), held)
+
+
+def test_other_tokenizer_files_are_refused():
+    with pytest.raises(ValueError):
+        pack.encoding(P.path("word_bpe_49k.json"))
 
 
 def test_packer_fills_every_window():
