@@ -10,6 +10,7 @@ decides which proposals become spans. Nothing is sampled.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -74,16 +75,19 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-# The looser patterns, the gazetteers and the context words of each kind.
+# The looser patterns with strings of which each of their matches holds one, the gazetteers and the
+# context words of each kind. Kind 0 is read outwards from its separator.
+_AT = re.compile(r"\(at\)|\[at\]| at ")
+_SPELT = re.compile(r" ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z0-9-]++)+")
+_DOT_WORD = re.compile(r"\(dot\)|\[dot\]| dot ")
 _LOOSE = {
-    0: (re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z0-9-]{1,63}){1,4}"), ("(at)", "[at]", " dot ")),
     2: (re.compile(r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])"), None),
     3: (re.compile(r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"), None),
-    4: (re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), None),
+    4: (re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), ("-",)),
     5: (re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])"), None),
-    6: (re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:])"), None),
-    7: (re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key)\b[\"']?\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9_/+.-]{16,}+"), None),
-    8: (re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra?)\.? [^\W\d_a-z][^\W\d_]{1,30}(?: [^\W\d_a-z][^\W\d_]{1,30})?"), ("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme", "Sr")),
+    6: (re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:])"), (":",)),
+    7: (re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key)\b[\"']?\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9_/+.-]{16,}+"), ("=", ":")),
+    8: (re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra?)\.? [^\W\d_a-z][^\W\d_]++(?: [^\W\d_a-z][^\W\d_]++)?"), ("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme", "Sr")),
 }
 _CONTEXT = {
     0: ("mail", "contact", "write", "reach", "correo", "kontakt"), 2: ("card", "visa", "mastercard", "amex", "credit", "debit", "karte", "carte", "tarjeta"),
@@ -133,17 +137,52 @@ def _votes(kind: int, text: str, start: int, end: int) -> str:
     return "".join(("+" if strict else "-", check, named, near, shape, "-" if glued else "+"))
 
 
+class Taken:
+    """Disjoint intervals in order; telling whether another one overlaps them takes a binary search."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in sorted((s, e) for _, s, e in spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def overlaps(self, s: int, e: int) -> bool:
+        k = bisect.bisect_left(self.starts, e)  # those before k begin before e
+        return k > 0 and s < self.ends[k - 1]
+
+    def add(self, s: int, e: int) -> None:
+        k = bisect.bisect_left(self.starts, s)
+        self.starts.insert(k, s)
+        self.ends.insert(k, e)
+
+
+def _spelt(text: str) -> Iterator[tuple[int, int]]:
+    """E-mail addresses with a written at sign; the plain word `at` counts only with a written dot after it."""
+    if "(at)" not in text and "[at]" not in text and " at " not in text:
+        return
+    free = 0
+    for m in _AT.finditer(text):
+        end = start = m.start() - (m.start() > free and text[m.start() - 1] == " ")
+        while start > free and text[start - 1] in _LOCAL:
+            start -= 1
+        d = _SPELT.match(text, m.end()) if start < end else None
+        if d and (m[0].strip() != "at" or _DOT_WORD.search(d[0].lstrip())):
+            yield start, d.end()
+            free = d.end()
+
+
 def proposals(text: str, base: list[Span]) -> list[tuple[int, int, int, str]]:
     """(kind, start, end, pattern) of the looser patterns' matches that don't overlap a base span."""
-    out, numeric = [], bool(_DIGIT.search(text))
+    taken, numeric = Taken(base), bool(_DIGIT.search(text))
+    found = [(0, s, e) for s, e in _spelt(text)]
     for kind, (pattern, needs) in _LOOSE.items():
-        if not (any(x in text for x in needs) if needs else numeric):
-            continue
-        for m in pattern.finditer(text):
-            s, e = m.span()
-            if not any(s < y and x < e for _, x, y in base):
-                out.append((kind, s, e, f"{kind}{_votes(kind, text, s, e)}{min(3, (e - s) // 10)}"))
-    return out
+        if any(x in text for x in needs) if needs else numeric:
+            found += [(kind, *m.span()) for m in pattern.finditer(text)]
+    return [(k, s, e, f"{k}{_votes(k, text, s, e)}{min(3, (e - s) // 10)}") for k, s, e in found if not taken.overlaps(s, e)]
 
 
 LABELERS = 6
@@ -179,10 +218,11 @@ def learn(counts: dict[str, int], rounds: int = 40) -> dict[str, float]:
 
 def accepted(base: list[Span], proposed: list[tuple[int, int, int, str]], model: dict[str, float], least: float = 0.5) -> list[Span]:
     """Base spans and the proposals that the classifier takes, best first where they overlap; by kind and start."""
-    out = list(base)
+    out, taken = list(base), Taken(base)
     for k, s, e, pattern in sorted(proposed, key=lambda x: (-model.get(x[3], 0.0), x[1], x[0])):
-        if model.get(pattern, 0.0) >= least and not any(s < y and x < e for _, x, y in out):
+        if model.get(pattern, 0.0) >= least and not taken.overlaps(s, e):
             out.append((k, s, e))
+            taken.add(s, e)
     return sorted(out)
 
 
@@ -238,7 +278,11 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span's text replaced by its kind in brackets; n_chars follows if it is there. Null texts stay null."""
+    """docs with every span's text replaced by its kind in brackets; n_chars follows if it is there.
+
+    Null texts stay null and texts without a span as they are; repeated rows and ids and null ids come back row by row;
+    all further columns are carried along, whatever their names; an empty table gives an empty result.
+    """
     model = train(Scratch(docs.sparkSession, "pii").save(scan(docs), "found"))
     names = docs.columns
 
