@@ -1,19 +1,26 @@
 """Quality rules by robust multivariate outliers, in DataFrame functions only.
 
 Every text gives a vector of transformed statistics. For each language and source, each language, and all rows, a
-minimum-covariance-determinant estimate is found: a start from medians and median absolute deviations, then
-concentration steps that keep the share CORE of rows nearest to the last estimate and take their mean and covariance.
-Distances are scaled so that their median is that of the chi-squared law, and a row beyond its CUT quantile is
-rejected. A group below LEAST rows leaves the judgement to its language, and a language to all rows.
-Aggregates are means, covariances and exact percentiles of rounded values, all of which are summed up before the
-shuffle, so a source that holds a third of all rows is no hot task.
+minimum-covariance-determinant estimate is found as FAST-MCD and its deterministic form do: concentration steps, which
+keep the share CORE of rows nearest to the last estimate and take their mean and covariance, run from three robust
+starts (medians with absolute deviations, and with the correlations of squashed values and of spatial signs) and from
+RANDOM small sets of rows, chosen by their fingerprints; after TRIAL steps the start with the least determinant goes on until no determinant falls any more. The covariances are
+regularised by a fixed diagonal (FLOOR), as ratios that are zero in nearly all rows have no spread of their own.
+
+Cube roots of the squared distances are nearly normal (Wilson and Hilferty). Their median and upper quartile in the
+group set the scale of clean rows, so heavy tails widen it, and a row beyond the deviate CUT of it is rejected. A group
+of fewer than LEAST rows, five to a dimension, has no covariance of its own and leaves the judgement to its language,
+and a language to all rows.
+
+Quantiles are taken from counts by group and rounded value, and means and covariances are summed up before the shuffle,
+so a source that holds a third of all rows is no hot task.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .store import Scratch
 
@@ -22,16 +29,11 @@ WORDY = r"[^\x20\x09-\x0D]"
 FEATURES = ("x_word_length", "x_symbols", "x_dup_lines", "x_repeats", "x_upper")
 #: Smallest standard deviation that an estimate may have: ratios that are zero in nearly all rows would have none.
 FLOOR = {"x_word_length": 0.08, "x_symbols": 0.35, "x_dup_lines": 0.8, "x_repeats": 0.6, "x_upper": 0.35}
-CORE, STEPS, LEAST = 0.6, 4, 200
-CHI_MEDIAN = len(FEATURES) * (1 - 2 / (9 * len(FEATURES))) ** 3
-
-
-def chi_quantile(z: float, d: int = len(FEATURES)) -> float:
-    """The chi-squared quantile at the normal deviate z (Wilson and Hilferty)."""
-    return d * (1 - 2 / (9 * d) + z * math.sqrt(2 / (9 * d))) ** 3
-
-
-CUT = chi_quantile(5.9978)  # one row of a normal law in 10^9: the tails of clean text are heavier than normal
+RANDOM, FEW = 5, len(FEATURES) + 1
+SHRINK = {"n_lines": 10, "n_words": 100, "word_chars": 500}
+CORE, TRIAL, MOST, LEAST = 0.6, 2, 25, 5 * len(FEATURES)
+CUT = 4.7534  # the normal deviate that one clean row in a million exceeds
+QUARTILE = 0.67449  # that of the upper quartile
 
 
 def let(df: DataFrame, **named: Column) -> DataFrame:
@@ -71,8 +73,11 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def vectors(stats: DataFrame) -> DataFrame:
-    """Adds base_failed and the transformed features to rows with statistics()."""
-    share = lambda part, whole: F.log1p(100.0 * F.col(part) / F.greatest(F.col(whole), F.lit(1)))
+    """Adds base_failed and the transformed features to rows with statistics().
+
+    Shares are shrunk by a few clean lines, words or characters, so that one repeated line of a short text says little.
+    """
+    share = lambda part, whole: F.log1p(100.0 * F.col(part) / (F.col(whole) + SHRINK[whole]))
     return stats.withColumns(
         {
             "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
@@ -91,9 +96,17 @@ def _levels() -> Column:
     return F.array(F.concat_ws("\x01", F.lit("s"), lang, source), F.concat_ws("\x01", F.lit("l"), lang), F.lit("a"))
 
 
-def _rounded(c: Column, at: float) -> Column:
-    """An exact percentile over values on a grid, so that its state is bounded."""
-    return F.percentile(F.round(c, 3), F.lit(at))
+def _quantiles(rows: DataFrame, by: list[str], columns: dict[str, Column], at: dict[str, float]) -> DataFrame:
+    """(*by, a column for each of `at`): quantiles, each of the column that its name begins with up to a colon, rounded to 0.001.
+
+    Counted by group and value, so that a large group is dealt over all tasks; a group's values are on a bounded grid.
+    """
+    values = rows.select(*by, F.explode(F.array(*(F.struct(F.lit(n).alias("which"), F.round(c, 3).alias("value")) for n, c in columns.items()))).alias("x"))
+    counts = values.select(*by, "x.which", "x.value").groupBy(*by, "which", "value").agg(F.count("*").alias("n"))
+    group = Window.partitionBy(*by, "which")
+    summed = counts.select(*by, "which", "value", F.sum("n").over(group.orderBy("value")).alias("upto"), F.sum("n").over(group).alias("total"))
+    found = [F.min(F.when((F.col("which") == n.split(":")[0]) & (F.col("upto") >= q * F.col("total")), F.col("value"))).alias(n.replace(":", "_")) for n, q in at.items()]
+    return summed.groupBy(by).agg(*found, F.max("total").alias("n"))
 
 
 def _distance() -> Column:
@@ -108,7 +121,7 @@ def _distance() -> Column:
 
 
 def _factor(moments: DataFrame) -> DataFrame:
-    """(grp, m_i, l_i_j) from (grp, m_i, c_i_j): the covariance with its floor, factored column by column."""
+    """(.., m_i, l_i_j) from (.., m_i, c_i_j): the covariance with its floor, factored column by column."""
     d = len(FEATURES)
     df = moments
     for j in range(d):
@@ -121,48 +134,106 @@ def _factor(moments: DataFrame) -> DataFrame:
             for k in range(j):
                 v = v - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
             df = df.withColumn(f"l_{i}_{j}", v / F.col(f"l_{j}_{j}"))
-    return df.select("grp", *(f"m_{i}" for i in range(d)), *(f"l_{i}_{j}" for i in range(d) for j in range(i + 1)))
+    rest = [c for c in moments.columns if c[:2] not in ("m_", "c_")]
+    return df.select(*rest, *(f"m_{i}" for i in range(d)), *(f"l_{i}_{j}" for i in range(d) for j in range(i + 1)))
+
+
+def _moments() -> list[Column]:
+    """Means and covariances of the features."""
+    means = [F.avg(x).alias(f"m_{i}") for i, x in enumerate(FEATURES)]
+    return means + [F.covar_pop(x, y).alias(f"c_{i}_{j}") for i, x in enumerate(FEATURES) for j, y in enumerate(FEATURES[: i + 1])]
+
+
+def _starts(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(grp, start, m_i, l_i_j): the starts of every group, three robust ones and RANDOM of a few random rows each."""
+    d = range(len(FEATURES))
+    middle = scratch.save(_quantiles(rows, ["grp"], {x: F.col(x) for x in FEATURES}, dict.fromkeys(FEATURES, 0.5)), "medians")
+    sizes = middle.select("grp", "n")
+    middle = middle.select("grp", *(F.col(x).alias(f"m_{i}") for i, x in enumerate(FEATURES)))
+    off = rows.join(middle, "grp")
+    spread = _quantiles(off, ["grp"], {x: F.abs(F.col(x) - F.col(f"m_{i}")) for i, x in enumerate(FEATURES)}, dict.fromkeys(FEATURES, 0.5))
+    # standard deviations with their floor, so that values are comparable
+    spread = scratch.save(spread.select("grp", *(F.sqrt(F.pow(1.4826 * F.col(x), 2) + FLOOR[x] ** 2).alias(f"s_{i}") for i, x in enumerate(FEATURES))), "spreads")
+    z = off.join(spread, "grp").select("grp", *((F.col(x) - F.col(f"m_{i}")) / F.col(f"s_{i}") for i, x in enumerate(FEATURES)))
+    z = z.toDF("grp", *(f"z_{i}" for i in d))
+    norm = F.greatest(sum((F.col(f"z_{i}") * F.col(f"z_{i}") for i in d), F.lit(0.0)), F.lit(1e-9))
+    pairs = [(i, j) for i in d for j in range(i + 1)]
+    squashed = [F.avg(F.tanh(f"z_{i}") * F.tanh(f"z_{j}")).alias(f"t_{i}_{j}") for i, j in pairs]
+    signs = [F.avg(F.col(f"z_{i}") * F.col(f"z_{j}") / F.col("norm")).alias(f"g_{i}_{j}") for i, j in pairs]
+    moments = z.withColumn("norm", norm).groupBy("grp").agg(*squashed, *signs).join(middle, "grp").join(spread, "grp")
+
+    def start(k: int, correlation) -> DataFrame:
+        return moments.select("grp", F.lit(k).alias("start"), *(f"m_{i}" for i in d), *((correlation(i, j) * F.col(f"s_{i}") * F.col(f"s_{j}")).alias(f"c_{i}_{j}") for i, j in pairs))
+
+    def scaled(x: str):
+        return lambda i, j: F.lit(1.0) if i == j else F.coalesce(F.col(f"{x}_{i}_{j}") / F.sqrt(F.greatest(F.col(f"{x}_{i}_{i}") * F.col(f"{x}_{j}_{j}"), F.lit(1e-12))), F.lit(0.0)) * 0.99
+
+    moments = scratch.save(moments, "moments")
+    # a row is in a random start if its fingerprint is among the FEW smallest of so many, one in expectation each
+    few = rows.join(sizes, "grp").select("grp", *FEATURES, "n", F.posexplode(F.array(*(F.xxhash64(F.lit(k), *FEATURES) for k in range(RANDOM)))).alias("k", "h"))
+    few = few.where(F.pmod(F.shiftright("h", 8), "n") < FEW).groupBy("grp", "k").agg(*_moments())
+    made = start(0, lambda i, j: F.lit(float(i == j))).union(start(1, scaled("t"))).union(start(2, scaled("g")))
+    return scratch.save(_factor(made.union(few.withColumn("k", F.col("k") + 3).toDF(*made.columns))), "starts")
+
+
+def _concentrate(rows: DataFrame, fit: DataFrame, scratch: Scratch) -> DataFrame:
+    """One concentration step of every fit(grp, start, m_i, l_i_j) over the rows of its group, written."""
+    near = rows.join(fit, "grp").select("grp", "start", *FEATURES, F.round(F.log1p(_distance()), 3).alias("far"))
+    edge = scratch.save(_quantiles(near, ["grp", "start"], {"far": F.col("far")}, {"far": CORE}).select("grp", "start", F.col("far").alias("edge")), "edge")
+    core = near.join(edge, ["grp", "start"]).where("far <= edge")
+    return scratch.save(_factor(core.groupBy("grp", "start").agg(*_moments())), "fit")
+
+
+def _log_det() -> Column:
+    return sum((F.log(F.col(f"l_{i}_{i}")) for i in range(1, len(FEATURES))), F.log(F.col("l_0_0")))
 
 
 def estimates(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """(grp, n, m_i, l_i_j, scale): the robust location and Cholesky factor of every group of rows that passed the base rules."""
-    d = len(FEATURES)
+    """(grp, n, m_i, l_i_j, centre, spread): location, Cholesky factor and law of the distances of every group.
+
+    Groups are those of the rows that passed the base rules. centre and spread are those of the distances' cube roots.
+    """
     rows = scratch.save(rows.where("not base_failed").select(F.explode(_levels()).alias("grp"), *FEATURES), "levels")
-    middle = rows.groupBy("grp").agg(F.count("*").alias("n"), *(_rounded(F.col(x), 0.5).alias(f"m_{i}") for i, x in enumerate(FEATURES)))
-    middle = scratch.save(middle, "medians")
-    spread = rows.join(middle, "grp").groupBy("grp").agg(*(_rounded(F.abs(F.col(x) - F.col(f"m_{i}")), 0.5).alias(f"s_{i}") for i, x in enumerate(FEATURES)))
-    start = middle.join(spread, "grp").select("grp", *(f"m_{i}" for i in range(d)), *((F.pow(1.4826 * F.col(f"s_{i}"), 2) if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(d) for j in range(i + 1)))
-    fit = scratch.save(_factor(start), "start")
-    for _ in range(STEPS):
-        near = rows.join(fit, "grp").select("grp", *FEATURES, F.log1p(_distance()).alias("far"))
-        edge = scratch.save(near.groupBy("grp").agg(_rounded(F.col("far"), CORE).alias("edge")), "edge")
-        core = near.join(edge, "grp").where("round(far, 3) <= edge")
-        moments = core.groupBy("grp").agg(
-            *(F.avg(x).alias(f"m_{i}") for i, x in enumerate(FEATURES)),
-            *(F.covar_pop(x, y).alias(f"c_{i}_{j}") for i, x in enumerate(FEATURES) for j, y in enumerate(FEATURES[: i + 1])),
-        )
-        fit = scratch.save(_factor(moments), "fit")
-    far = rows.join(fit, "grp").groupBy("grp").agg(F.expm1(_rounded(F.log1p(_distance()), 0.5)).alias("half"))
-    scaled = fit.join(far, "grp").join(middle.select("grp", "n"), "grp")
-    return scratch.save(scaled.withColumn("scale", F.greatest(F.col("half") / CHI_MEDIAN, F.lit(1.0))).drop("half"), "estimates")
+    # groups below LEAST have no say, so they need no estimate
+    large = scratch.save(rows.groupBy("grp").count().where((F.col("count") >= LEAST) | (F.col("grp") == "a")).select("grp"), "groups")
+    rows = rows.join(large, "grp", "left_semi")
+    fit = _starts(rows, scratch)
+    for _ in range(TRIAL):
+        fit = _concentrate(rows, fit, scratch)
+    fit = fit.select("*", F.row_number().over(Window.partitionBy("grp").orderBy(_log_det(), "start")).alias("rank")).where("rank = 1").drop("rank")
+    fit = scratch.save(fit, "best")
+    for _ in range(MOST):
+        was = fit.select("grp", _log_det().alias("was"))
+        # groups whose determinant still falls go on
+        after = _concentrate(rows, fit, scratch)
+        better = after.join(was, "grp").where(_log_det() < F.col("was") - 1e-3).drop("was")
+        better = scratch.save(better, "better")
+        if not better.limit(1).count():
+            break
+        fit = scratch.save(fit.join(better, "grp", "left_anti").union(better.select(*fit.columns)), "fit")
+    roots = rows.join(fit, "grp").select("grp", F.cbrt(_distance()).alias("root"))
+    law = _quantiles(roots, ["grp"], {"root": F.col("root")}, {"root:half": 0.5, "root:upper": 0.75})
+    law = law.select("grp", "n", F.col("root_half").alias("centre"), F.greatest((F.col("root_upper") - F.col("root_half")) / QUARTILE, F.lit(math.sqrt(2 / (9 * len(FEATURES))))).alias("spread"))
+    return scratch.save(fit.drop("start").join(law, "grp"), "estimates")
 
 
 def _judged(rows: DataFrame, fit: DataFrame, least: int) -> DataFrame:
-    """rows of vectors() with grp, distance and kept; fit is the small table of estimates."""
+    """rows of vectors() with grp, distance (as a normal deviate) and kept; fit is the small table of estimates."""
     sizes = fit.select(F.col("grp"), F.col("n"))
     levels = _levels()
     out = rows.withColumns({"g_s": levels[0], "g_l": levels[1]})
     for g in ("g_s", "g_l"):
         out = out.join(sizes.select(F.col("grp").alias(g), F.col("n").alias(f"{g}_n")), g, "left")
     group = F.when(F.col("g_s_n") >= least, F.col("g_s")).when(F.col("g_l_n") >= least, F.col("g_l")).otherwise(F.lit("a"))
-    out = out.withColumn("grp", group).join(fit.drop("n"), "grp", "left").withColumn("distance", _distance() / F.col("scale"))
+    out = out.withColumn("grp", group).join(fit.drop("n"), "grp", "left").withColumn("distance", (F.cbrt(_distance()) - F.col("centre")) / F.col("spread"))
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUT, F.lit(True)))
 
 
 def judge(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """One row per row of docs(doc_id, text, lang, source): statistics, base_failed, group, distance, kept.
 
-    kept is false if the base rules fail, else whether the row's squared distance is within the cut. A null text has
+    distance is the normal deviate of the row's robust distance among those of its group; kept is false if the base
+    rules fail, else whether that is within the cut. A null text has
     no words and fails; a null lang or source is a group of its own; equal rows get equal verdicts; a corpus with no
     row that passes the base rules has no estimate and keeps none; an empty table gives an empty result. Further
     columns are ignored.
@@ -175,11 +246,13 @@ def judge(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns.
+    """The rows of docs that judge() keeps, with all their columns, whatever these are named.
 
-    Statistics are taken a second time rather than joined, so texts are never shuffled.
+    Null and wordless texts fail the base rules and go; null languages and sources are groups of their own; repeated
+    rows get equal verdicts; an empty table gives an empty result. Statistics are taken once and written beside the
+    rows; texts are not shuffled.
     """
     scratch = Scratch(docs.sparkSession, "quality")
-    fit = estimates(scratch.save(vectors(statistics(docs.select("text", "lang", "source"))), "statistics"), scratch)
     whole = docs.select(F.struct(*docs.columns).alias("whole"), "text", "lang", "source")
-    return _judged(vectors(statistics(whole)), fit, least).where("kept").select("whole.*")
+    rows = scratch.save(vectors(statistics(whole)), "statistics")
+    return _judged(rows, estimates(rows, scratch), least).where("kept").select("whole.*")
