@@ -4,6 +4,8 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+
 from millrace.llm import suffix
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -58,6 +60,29 @@ def test_against_every_run(spark):
         rows = made(seed)
         df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as place", "2 as g").repartition(3)
         assert got(rows, suffix.repeated_spans(df)) == brute(rows)
+        assert got(rows, suffix.repeated_spans(df, group=2)) == brute(rows)  # nearly all groups by fingerprints
+
+
+def test_comparison_of_surroundings():
+    """Sorting and comparing neighbours against every pair of runs."""
+    rng = random.Random(5)
+    for _ in range(200):
+        least, gram = 12, 4
+        segments, offsets = [], []
+        for _ in range(rng.randrange(1, 12)):
+            o, r = rng.randrange(least - gram + 1), rng.randrange(gram, least + 1)
+            if o + r < least:
+                r = least - o
+            segments.append(np.array([rng.choice([1, 1, 1, 2]) for _ in range(o)] + [7] * gram + [rng.choice([3, 3, 3, 4]) for _ in range(r - gram)], np.uint64))
+            offsets.append(o)
+        keys = np.array([[rng.randrange(5), 100 * i] for i in range(len(segments))])
+        runs = defaultdict(list)
+        for i, s in enumerate(segments):
+            for a in range(max(0, offsets[i] + gram - least), min(offsets[i], len(s) - least) + 1):
+                runs[a - offsets[i], tuple(s[a : a + least])].append((keys[i, 0], keys[i, 1] + a, i, a))
+        want = {(i, a, min(v)[2]) for v in runs.values() for d, w, i, a in v if (d, w) != min(v)[:2]}
+        found = {x for part in suffix.compare(segments, np.array(offsets), keys, least, gram) for x in zip(*(p.tolist() for p in part))}
+        assert found == want
 
 
 def test_whole_documents_table(spark, sf):
@@ -82,6 +107,13 @@ def test_removal(spark):
         assert back[i].n_chars == len(back[i].text)
 
 
+def test_clashing_names(spark):
+    rows = made(6)
+    df = spark.createDataFrame([(i, t, "a", b"b", 3, "d") for i, t in rows], "doc_id long, text string, spans string, raw binary, cut int, _spans string")
+    out = suffix.remove_repeats(df)
+    assert out.columns == df.columns and {(r.spans, bytes(r.raw), r.cut, r._spans) for r in out.collect()} == {("a", b"b", 3, "d")}
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert suffix.repeated_spans(empty).collect() == [] and suffix.remove_repeats(empty).collect() == []
