@@ -18,6 +18,7 @@ of all other words come from the distributed table by a join. A text's classes a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -368,8 +369,7 @@ def score(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, "text"):
             p, s, offsets = tokens(batch.column("text"))
             c, n, known = m.lookup(p, s)
-            base = np.where(known, np.log10(n + UNIGRAM) - floor, 0.0)
-            value = np.where(known, np.log10(n + EMISSION), 0.0)
+            base, value = np.log10(n + UNIGRAM) - floor, np.log10(n + EMISSION)  # words outside the head count as unseen for now
             start = offsets[:-1]
             rare = np.flatnonzero(~known)
             held = np.searchsorted(rare, offsets).astype(np.int32)
@@ -415,7 +415,7 @@ def score(docs: DataFrame) -> DataFrame:
     rows = scratch.save(docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, value double, codes binary, rare array<long>, places array<int>"), "rows")
     rare = rows.select("row", F.explode(F.arrays_zip("places", "rare")).alias("x")).select("row", F.col("x.places").alias("at"), F.col("x.rare").alias("print"))
     added = rare.hint("merge").join(tail, "print").groupBy("row").agg(
-        F.count("*").alias("k"), F.sum(F.log10(F.col("n") + UNIGRAM) - floor).alias("b"), F.sum(F.log10(F.col("n") + EMISSION)).alias("v"),
+        F.count("*").alias("k"), F.sum(F.log10(F.col("n") + UNIGRAM) - math.log10(UNIGRAM)).alias("b"), F.sum(F.log10(F.col("n") + EMISSION) - math.log10(EMISSION)).alias("v"),
         F.collect_list(F.struct("at", F.col("class").alias("c"))).alias("found"),
     )
     zero = F.lit(0.0)

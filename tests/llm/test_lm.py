@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import lm
@@ -46,18 +47,50 @@ def test_head_and_join_agree(spark, sf, monkeypatch):
     assert all(part[i] == pytest.approx(whole[i], rel=1e-9) for i in whole)
 
 
-def test_it_is_a_distribution_and_beats_the_base(spark, sf):
+def learnt(docs, spark):
+    """(class, count) of every training token, by fingerprint, and the model."""
+    model, tail = lm.train_model(docs, Scratch(spark, "test"))
+    held = {p: (c, n) for p, c, n in zip(model.head.tolist(), model.head_class.tolist(), model.head_n.tolist())}
+    held |= {int(np.int64(r["print"]).view(np.uint64)): (r["class"], r["n"]) for r in tail.collect()}
+    return model, held
+
+
+@pytest.mark.parametrize("head", [1 << 18, 300])
+def test_score_against_plain_python(spark, sf, monkeypatch, head):
+    """The class bigram computed anew from the learnt classes: transitions, emissions, unseen words."""
+    monkeypatch.setattr(lm, "HEAD", head)
+    df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    strange = spark.createDataFrame([(90_000 + i, "unseen%d words the" % i) for i in range(30)], "doc_id long, text string").where("crc32(cast(cast(doc_id as string) as binary)) % 10 = 0")
+    df = df.union(strange)
+    model, held = learnt(lm.split(df), spark)
+    rows = {}
+    for r in df.collect():
+        p, shape, _ = lm.tokens(pa.array([r.text]))
+        seen = [held.get(x, (int(model.shape_class[s]), 0)) for x, s in zip(p.tolist(), shape.tolist())]
+        rows[r.doc_id] = zlib.crc32(str(r.doc_id).encode()) % 10 == 0, seen
+    moves, mass, kinds = Counter(), Counter(), Counter()
+    for out, seen in rows.values():
+        if not out:
+            moves.update(zip([model.end_class, *(c for c, _ in seen[:-1])], (c for c, _ in seen)))
+    for c, n in held.values():
+        mass[c] += n
+        kinds[c] += 1
+    k, begins = len(model.mass), Counter()
+    for (a, _), n in moves.items():
+        begins[a] += n
+    for r in lm.score(df).collect():
+        _, seen = rows[r.doc_id]
+        before, want = model.end_class, 0.0
+        for c, n in seen:
+            want += math.log10((moves[before, c] + lm.TRANSITION) / (begins[before] + lm.TRANSITION * k))
+            want += math.log10((n + lm.EMISSION) / (mass[c] + lm.EMISSION * (kinds[c] + 1)))
+            before = c
+        assert r.score == pytest.approx(want, rel=1e-9)
+        assert r.perplexity == pytest.approx(10 ** (-want / len(seen)), rel=1e-9)
+
+
+def test_it_beats_the_base(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
-    scratch = Scratch(spark, "test")
-    docs = lm.split(df)
-    model, _ = lm.train_model(docs, scratch)
-    counts = lm.count_words(docs.where("not held_out")).toPandas()
-    prints = counts["print"].to_numpy().view(np.uint64)
-    symbol, _, _ = model.symbols(prints, counts["shape"].to_numpy())
-    c = model.symbol_class[symbol]
-    mass = np.bincount(c, counts["n"] + lm.EMISSION, len(model.mass)) + lm.EMISSION
-    assert np.allclose(np.log10(mass), model.mass)
-    assert np.allclose((10**model.transition).sum(axis=1), 1)
     held = lm.score(df).where("held_out").selectExpr("sum(score) s", "sum(base_score) b").collect()[0]
     assert held.s > held.b
 
