@@ -138,10 +138,15 @@ def _factor(moments: DataFrame) -> DataFrame:
     return df.select(*rest, *(f"m_{i}" for i in range(d)), *(f"l_{i}_{j}" for i in range(d) for j in range(i + 1)))
 
 
-def _moments() -> list[Column]:
-    """Means and covariances of the features."""
-    means = [F.avg(x).alias(f"m_{i}") for i, x in enumerate(FEATURES)]
-    return means + [F.covar_pop(x, y).alias(f"c_{i}_{j}") for i, x in enumerate(FEATURES) for j, y in enumerate(FEATURES[: i + 1])]
+def _moments(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, m_i, c_i_j): means and covariances of the features, from plain sums (values are small, so little cancels)."""
+    pairs = [(i, j) for i in range(len(FEATURES)) for j in range(i + 1)]
+    sums = rows.groupBy(by).agg(
+        F.count("*").alias("n"), *(F.sum(x).alias(f"s_{i}") for i, x in enumerate(FEATURES)),
+        *(F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"s_{i}_{j}") for i, j in pairs),
+    )
+    means = [(F.col(f"s_{i}") / F.col("n")).alias(f"m_{i}") for i in range(len(FEATURES))]
+    return sums.select(*by, *means, *((F.col(f"s_{i}_{j}") / F.col("n") - F.col(f"s_{i}") * F.col(f"s_{j}") / F.col("n") / F.col("n")).alias(f"c_{i}_{j}") for i, j in pairs))
 
 
 def _starts(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -171,7 +176,7 @@ def _starts(rows: DataFrame, scratch: Scratch) -> DataFrame:
     moments = scratch.save(moments, "moments")
     # a row is in a random start if its fingerprint is among the FEW smallest of so many, one in expectation each
     few = rows.join(sizes, "grp").select("grp", *FEATURES, "n", F.posexplode(F.array(*(F.xxhash64(F.lit(k), *FEATURES) for k in range(RANDOM)))).alias("k", "h"))
-    few = few.where(F.pmod(F.shiftright("h", 8), "n") < FEW).groupBy("grp", "k").agg(*_moments())
+    few = _moments(few.where(F.pmod(F.shiftright("h", 8), "n") < FEW), ["grp", "k"])
     made = start(0, lambda i, j: F.lit(float(i == j))).union(start(1, scaled("t"))).union(start(2, scaled("g")))
     return scratch.save(_factor(made.union(few.withColumn("k", F.col("k") + 3).toDF(*made.columns))), "starts")
 
@@ -181,7 +186,7 @@ def _concentrate(rows: DataFrame, fit: DataFrame, scratch: Scratch) -> DataFrame
     near = rows.join(fit, "grp").select("grp", "start", *FEATURES, F.round(F.log1p(_distance()), 3).alias("far"))
     edge = scratch.save(_quantiles(near, ["grp", "start"], {"far": F.col("far")}, {"far": CORE}).select("grp", "start", F.col("far").alias("edge")), "edge")
     core = near.join(edge, ["grp", "start"]).where("far <= edge")
-    return scratch.save(_factor(core.groupBy("grp", "start").agg(*_moments())), "fit")
+    return scratch.save(_factor(_moments(core, ["grp", "start"])), "fit")
 
 
 def _log_det() -> Column:

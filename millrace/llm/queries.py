@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import corpus_pipeline
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
 from . import ann, bpe, license, lm, near, pack, pii, quality, suffix, warc
@@ -53,8 +53,33 @@ def op10_robust_outlier_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def lm_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op2 that don't depend on the trained classes."""
+    return op2_brown_class_lm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
+def passage_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of op3 without the documents that they are copies of."""
+    return op3_sparse_suffix_array(spark, sf_dir).select("doc_id", "start_word", "end_word", "start_byte", "end_byte")
+
+
+def pii_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8 that don't depend on the trained classifier."""
+    return op8_weakly_supervised_pii(spark, sf_dir).drop("spans")
+
+
+def quality_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10 that don't depend on the robust estimate."""
+    return op10_robust_outlier_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+#: Queries beside the ten, for what SQL can express of them.
+PARTS = (lm_base_columns, passage_spans, pii_base_columns, quality_base_columns)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"pipeline": corpus_pipeline.run}
+    found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"pipeline": corpus_pipeline.run}
+    return found | {f.__name__: f for f in PARTS}
 
 
 def oracle_sql() -> dict[str, str]:
