@@ -1,7 +1,7 @@
 """Corpus assembly: token estimates, budgets, evaluation splits, balanced mixtures, inclusion and id sets.
 
 Budgets are prefixes, so they need running sums in an explicit order. running_total() takes them in two levels: totals
-of ranges of the order, whose number is bounded, and a window within each range. No source is ever one task.
+of ranges of the order, about equal in rows, and a window within each range. No source is ever one task.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
 
-RANGES = 512
+CELLS, ROWS = 1 << 16, 200_000  # cells that ranges are made of; wanted rows of a range
 
 
 def token_estimate(c: Column, characters_per_token: float = 4.0) -> Column:
@@ -23,11 +23,16 @@ def running_total(df: DataFrame, group: str, order: str, value: str, name: str =
 
     order must be a whole number that is unique within the group.
     """
-    edge = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).collect()[0]
+    edge = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count(order).alias("n")).first()
     if edge["lo"] is None:
         return df.withColumns({name: F.lit(None).cast("long"), f"{name}_n": F.lit(None).cast("long")})
-    width = max(1, -(-(edge["hi"] - edge["lo"] + 1) // RANGES))
-    cut = df.withColumn("_range", F.floor((F.col(order) - edge["lo"]) / width).cast("int"))
+    width = max(1, -(-(edge["hi"] - edge["lo"] + 1) // CELLS))
+    cell = F.floor((F.col(order) - edge["lo"]) / width).cast("int")
+    # cells of equal width are counted and put together to ranges of as many rows each, however the order is spread
+    counted = df.groupBy(cell.alias("_cell")).agg(F.count("*").alias("_k"))
+    before = F.sum("_k").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))  # at most CELLS rows
+    ranges = counted.select("_cell", F.floor(F.coalesce(before, F.lit(0)) / max(1, min(ROWS, -(-edge["n"] // 64)))).cast("int").alias("_range"))
+    cut = df.withColumn("_cell", cell).join(F.broadcast(ranges), "_cell").drop("_cell")
     sums = cut.groupBy(group, "_range").agg(F.sum(value).alias("_sum"), F.count("*").alias("_n"))
     past = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select(group, "_range", F.coalesce(F.sum("_sum").over(past), F.lit(0)).alias("_before"), F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_rows"))
@@ -100,10 +105,14 @@ def id_set_hash(ids: DataFrame, column: str) -> DataFrame:
 
 
 def epoch_order(df: DataFrame, key: str, seed: int, epoch: int, size: int, cursor: int = 0, drop_last: bool = False) -> DataFrame:
-    """df in batches of a seeded order: adds batch and place; batches before the cursor are left out."""
-    mixed = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed + epoch)))
-    mixed = running_total(mixed.withColumns({"_g": F.lit(0), "_one": F.lit(1), "_o": F.shiftrightunsigned("_h", 2)}), "_g", "_o", "_one", "_k")
-    out = mixed.withColumns({"batch": F.floor((F.col("_k_n") - 1) / size), "place": (F.col("_k_n") - 1) % size}).where(F.col("batch") >= cursor)
+    """df in batches of a seeded order: adds batch and place; batches before the cursor are left out.
+
+    The order is that of the first 60 bits of the digest of seed + epoch and the key, which must be unique.
+    """
+    digest = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed + epoch)), F.col(key)), 256), 1, 15), 16, 10).cast("long")
+    mixed = running_total(df.withColumns({"_g": F.lit(0), "_one": F.lit(1), "_o": digest}), "_g", "_o", "_one", "_k")
+    at = F.col("_k_n") - 1
+    out = mixed.withColumns({"batch": F.floor(at / size), "place": at % size}).where(F.col("batch") >= cursor)
     if drop_last:
         whole = df.count() // size
         out = out.where(F.col("batch") < whole)

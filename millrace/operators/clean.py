@@ -10,8 +10,8 @@ from ..functions import arrow as A, text as T
 
 
 def document_id(source: Column, split: Column, index: Column, text: Column) -> Column:
-    """source-split-index (nine digits)-first sixteen hex digits of the text's SHA-256."""
-    return F.concat(source, F.lit("-"), split, F.lit("-"), F.lpad(index.cast("string"), 9, "0"), F.lit("-"), F.substring(F.sha2(text, 256), 1, 16))
+    """source-split-index (nine digits at least)-first sixteen hex digits of the text's SHA-256."""
+    return F.concat(source, F.lit("-"), split, F.lit("-"), F.format_string("%09d", index.cast("long")), F.lit("-"), F.substring(F.sha2(text, 256), 1, 16))
 
 
 @dataclass(frozen=True)

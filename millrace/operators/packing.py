@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .assemble import running_total
 
 
 def pack(docs: DataFrame, width: int, order: str = "doc_id", ids: str = "ids", per_shard: int = 8192) -> DataFrame:
-    """(record, shard, tokens): all documents one after the other, cut into records of width + 1 ids; the rest is left out."""
-    sized = docs.select(F.lit(0).alias("_g"), order, ids, F.size(ids).cast("long").alias("_n"))
-    placed = running_total(sized, "_g", order, "_n", "_end").withColumn("_start", F.col("_end") - F.col("_n"))
-    each = placed.select("_start", F.posexplode(ids).alias("_i", "id")).withColumn("position", F.col("_start") + F.col("_i"))
-    each = each.select(F.floor(F.col("position") / (width + 1)).alias("record"), F.struct("position", "id").alias("x"))
-    records = each.groupBy("record").agg(F.array_sort(F.collect_list("x")).alias("xs")).where(F.size("xs") == width + 1)
-    return records.select("record", F.floor(F.col("record") / per_shard).alias("shard"), F.transform("xs", lambda x: x["id"]).alias("tokens"))
+    """(record, shard, tokens): all documents one after the other, cut into records of width + 1 ids; the rest is left out.
+
+    Documents are cut where records end, by prefix sums, so slices are shuffled and not tokens: a row for each document
+    and one for each record edge in it.
+    """
+    size = width + 1
+    sized = docs.select(F.lit(0).alias("_g"), order, ids, F.size(ids).cast("long").alias("_n")).where("_n > 0")
+    placed = running_total(sized, "_g", order, "_n", "_end").select(ids, "_n", (F.col("_end") - F.col("_n")).alias("_start"), "_end")
+    first, last = F.floor(F.col("_start") / size), F.floor((F.col("_end") - 1) / size)
+
+    def piece(record: Column) -> Column:
+        begin = F.greatest(record * size - F.col("_start"), F.lit(0))
+        end = F.least((record + 1) * size - F.col("_start"), F.col("_n"))
+        return F.struct(record.alias("record"), (F.col("_start") + begin).alias("at"), F.slice(ids, (begin + 1).cast("int"), (end - begin).cast("int")).alias("piece"))
+
+    each = placed.select(F.explode(F.transform(F.sequence(first, last), piece)).alias("x")).select("x.record", F.struct("x.at", "x.piece").alias("x"))
+    records = each.groupBy("record").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    records = records.select("record", F.flatten(F.transform("xs", lambda x: x["piece"])).alias("tokens")).where(F.size("tokens") == size)
+    return records.select("record", F.floor(F.col("record") / per_shard).alias("shard"), "tokens")
 
 
 def training_view(records: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from decimal import ROUND_CEILING, Decimal, localcontext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import arrow as A, text as T
-from . import dedup
+from ..scratch import Scratch
 
 IGNORE = -100
 
@@ -62,26 +62,28 @@ def prompt_group(df: DataFrame) -> DataFrame:
 
 
 def deduplicate(df: DataFrame, order: str, key: str = "id") -> DataFrame:
-    """Adds rejection: missing_id, duplicate_id, duplicate_pair or null, in the given order.
+    """Adds rejection: missing_id, duplicate_id, duplicate_pair or null, in the given order (a unique whole number).
 
-    A row that goes as a duplicate pair doesn't take its id, so both rules are resolved together: rows conflict if they
-    share an id or a pair, and the ordered greedy rule keeps the first of each conflict.
+    A row that goes as a duplicate pair doesn't take its id, so both rules are resolved together, in rounds: a row that
+    is the first of those left with its id, and of those with its pair, is kept, and all others with this id or this
+    pair go. Each round is two aggregates over what is undecided, however popular an id or a pair is.
     """
+    scratch = Scratch(df.sparkSession, "sft")
     df = df.withColumn("_pair", F.sha2(F.concat_ws("\n", F.col("prompt_group"), plain(F.col("response"))), 256)).withColumn("_id", F.trim(F.coalesce(F.col(key).cast("string"), F.lit(""))))
-    good = df.where("_id <> ''").select(order, "_id", "_pair")
-
-    def conflicts(c: str) -> DataFrame:
-        often = good.groupBy(c).count().where("count > 1").select(c)
-        rows = good.join(often, c)
-        return rows.select(c, F.col(order).alias("a")).join(rows.select(c, F.col(order).alias("b")), c).where("a < b").select("a", "b")
-
-    pairs = conflicts("_id").union(conflicts("_pair")).distinct().withColumn("jaccard", F.lit(1.0))
-    gone = dedup.greedy_removed(pairs).select(F.col("b").alias(order), "kept_by")
-    kept = df.join(gone, order, "left_anti").where("_id <> ''").select(F.col("_id").alias("_id"), F.col(order).alias("_first"))
-    known = kept.groupBy("_id").agg(F.min("_first").alias("_first"))
-    out = df.join(gone, order, "left").join(known, "_id", "left")
-    reason = F.when(F.col("_id") == "", "missing_id").when(F.col("kept_by").isNull(), None).when(F.col("_first") < F.col(order), "duplicate_id").otherwise("duplicate_pair")
-    return out.withColumn("rejection", reason).drop("_pair", "_id", "kept_by", "_first")
+    left = scratch.save(df.where("_id <> ''").select(F.col(order).alias("_at"), "_id", "_pair"), "rows")
+    found = None
+    while True:
+        firsts = [left.groupBy(c).agg(F.min("_at").alias(f"_first{c}")) for c in ("_id", "_pair")]
+        both = left.join(firsts[0], "_id").join(firsts[1], "_pair")
+        kept = scratch.save(both.where((F.col("_at") == F.col("_first_id")) & (F.col("_at") == F.col("_first_pair"))).select("_at", "_id", "_pair"), "kept")
+        found = kept if found is None else found.union(kept)
+        left = scratch.save(left.join(kept.select("_id"), "_id", "left_anti").join(kept.select("_pair"), "_pair", "left_anti").select("_at", "_id", "_pair"), "left")
+        if not left.limit(1).count():
+            break
+    out = df.join(found.select("_id", F.col("_at").alias("_first")), "_id", "left")
+    at = F.col(order)
+    reason = F.when(F.col("_id") == "", "missing_id").when(F.col("_first") == at, None).when(F.col("_first") < at, "duplicate_id").otherwise("duplicate_pair")
+    return out.select(*(c for c in df.columns if c not in ("_pair", "_id")), reason.alias("rejection"))
 
 
 def _edge(fraction: float) -> str:

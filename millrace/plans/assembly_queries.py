@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 from ..operators import assemble, packing, sft, stats, tokenize
@@ -142,7 +142,7 @@ def packing_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.statistics(_ids(spark, sf_dir), WIDTH)
 
 
-@query()
+@query("SELECT doc_id, (k - 1) // 16 AS batch, (k - 1) % 16 AS place FROM (SELECT doc_id, row_number() OVER (ORDER BY substr(sha256('45:' || doc_id), 1, 15)) AS k FROM documents) WHERE k > 32")
 def epoch_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.epoch_order(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", seed=42, epoch=3, size=16, cursor=2)
 
@@ -175,13 +175,11 @@ def sft_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PLAIN = lambda x: squash_sql(fold_sql(f"nfc_normalize({x})"))
-GROUPED = f"SELECT conv_id, 'src' || (conv_id % 7) AS source, response, sha256({PLAIN('substr(instruction, 1, 60)')} || chr(10) || 'none' || chr(10)) AS prompt_group FROM ({CHATS})"
+GROUPED = f"SELECT conv_id, 'src' || (conv_id % 7) AS source, response, sha256({PLAIN('instruction')} || chr(10) || 'none' || chr(10)) AS prompt_group FROM ({CHATS})"
 
 
-def _grouped(spark: SparkSession, sf_dir: str, instruction: Column | None = None) -> DataFrame:
-    # the twins' digests are of 60 characters
-    start = F.substring("instruction", 1, 60) if instruction is None else instruction
-    c = _chats(spark, sf_dir).select("conv_id", F.concat(F.lit("src"), F.col("conv_id") % 7).alias("source"), start.alias("instruction"), F.lit("").alias("context"), F.lit("none").alias("context_type"), "response")
+def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _chats(spark, sf_dir).select("conv_id", F.concat(F.lit("src"), F.col("conv_id") % 7).alias("source"), "instruction", F.lit("").alias("context"), F.lit("none").alias("context_type"), "response")
     return sft.prompt_group(c)
 
 
@@ -193,7 +191,7 @@ def sft_prompt_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 # every record twice: an odd copy keeps its id, an even one gets a new id but is the same pair
 @query(f"SELECT ord, CASE WHEN ord >= 1000000 AND conv_id % 2 = 1 THEN 'duplicate_id' WHEN row_number() OVER (PARTITION BY prompt_group, r ORDER BY ord) > 1 THEN 'duplicate_pair' END AS rejection FROM (SELECT *, {PLAIN('response')} AS r, conv_id + k * 1000000 AS ord FROM ({GROUPED}), (SELECT unnest([0, 1]) AS k))")
 def sft_dedup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    twice = _grouped(spark, sf_dir, F.col("instruction")).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("ord", F.col("conv_id") + F.col("k") * 1000000)
+    twice = _grouped(spark, sf_dir).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("ord", F.col("conv_id") + F.col("k") * 1000000)
     twice = twice.withColumn("id", F.when((F.col("k") == 1) & (F.col("conv_id") % 2 == 0), F.col("ord")).otherwise(F.col("conv_id")).cast("string"))
     return sft.deduplicate(twice, "ord").select("ord", "rejection")
 

@@ -33,8 +33,8 @@ def _exact(by: list[str]) -> Stage:
 
 
 def near_dedup(df: DataFrame, c: dict) -> tuple[DataFrame, DataFrame]:
-    pairs = dedup.similar_pairs(dedup.shingles(df, "doc_id", size=c.get("shingle", 5), min_words=c.get("min_words", 20)), "doc_id", c.get("similarity", 0.9))
-    gone = dedup.greedy_removed(pairs).withColumnRenamed("b", "doc_id")
+    members, reps = dedup.classes_of(dedup.shingles(df, "doc_id", size=c.get("shingle", 5), min_words=c.get("min_words", 20)), "doc_id")
+    gone = dedup.greedy_removed(members, dedup.similar_classes(reps, c.get("similarity", 0.9))).withColumnRenamed("k", "doc_id")
     return df.join(gone, "doc_id", "left_anti"), gone
 
 

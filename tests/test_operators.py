@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.plans import assembly_queries
 from millrace.operators import assemble, dedup, language, licensing, packing, sft, stats, toxicity
 
 
@@ -25,9 +26,8 @@ def brute_pairs(sets, t):
     return {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b])}
 
 
-@pytest.mark.parametrize("t", [0.3, 0.5, 0.7, 0.9])
-def test_similar_pairs_are_exact(spark, t):
-    rng = random.Random(7)
+def mixed_texts(seed):
+    rng = random.Random(seed)
     base = [[f"w{rng.randrange(50)}" for _ in range(40)] for _ in range(5)]
     rows = []
     for i in range(60):
@@ -35,29 +35,72 @@ def test_similar_pairs_are_exact(spark, t):
         for _ in range(rng.choice([0, 0, 1, 2, 6])):
             w[rng.randrange(40)] = f"x{rng.randrange(9)}"
         rows.append((i, " ".join(w)))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    sets = {i: {tuple(x.split()[k : k + 5]) for k in range(36)} for i, x in rows}
-    got = dedup.similar_pairs(dedup.shingles(df, "doc_id"), "doc_id", t).collect()
-    assert {(r.a, r.b) for r in got} == brute_pairs(sets, t) and len({(r.a, r.b) for r in got}) == len(got)
+    return rows, {i: frozenset(tuple(x.split()[k : k + 5]) for k in range(36)) for i, x in rows}
+
+
+@pytest.mark.parametrize("t", [0.3, 0.5, 0.7, 0.9])
+def test_similar_classes_and_greedy_are_exact(spark, t, monkeypatch):
+    """Links between classes, members, and the greedy rule, against all pairs of documents."""
+    rows, sets = mixed_texts(7)
+    members, reps = dedup.classes_of(dedup.shingles(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id"), "doc_id")
+    first = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+    assert {r.k: r.rep for r in members.collect()} == first
+    links = dedup.similar_classes(reps, t)
+    got = links.collect()
+    pairs = brute_pairs(sets, t)
+    assert sorted((r.a, r.b) for r in got) == sorted((a, b) for a, b in pairs if first[a] == a and first[b] == b)
+    kept, gone = [], {}
+    for k in sorted(sets):
+        near = [(-round(len(sets[a] & sets[k]) / len(sets[a] | sets[k]), 6), a) for a in kept if (a, k) in pairs]
+        if near:
+            gone[k] = min(near)[1]
+        else:
+            kept.append(k)
+    for task in (dedup.TASK, 3):
+        monkeypatch.setattr(dedup, "TASK", task)
+        assert {r.k: r.kept_by for r in dedup.greedy_removed(members, links).collect()} == gone
 
 
 def test_greedy_is_not_components(spark):
     chain = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.9), (3, 4, 0.8)], "a long, b long, jaccard double")
-    assert {(r.b, r.kept_by) for r in dedup.greedy_removed(chain).collect()} == {(2, 1), (4, 3)}
+    members = spark.createDataFrame([(k, k) for k in range(1, 5)] + [(9, 2)], "k long, rep long")
+    assert {(r.k, r.kept_by) for r in dedup.greedy_removed(members, chain).collect()} == {(2, 1), (4, 3), (9, 1)}
     assert {(r.k, r.root) for r in dedup.clusters(chain).collect()} == {(k, 1) for k in (1, 2, 3, 4)}
 
 
-def test_greedy_against_a_loop(spark):
-    rng = random.Random(3)
-    pairs = sorted({tuple(sorted(rng.sample(range(40), 2))) for _ in range(70)})
-    kept, gone = [], set()
-    for k in range(40):
-        if any((a, k) in set(pairs) for a in kept):
-            gone.add(k)
-        else:
-            kept.append(k)
-    df = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "a long, b long, jaccard double")
-    assert {r.b for r in dedup.greedy_removed(df).collect()} == gone
+def test_instruction_deduplication_against_a_loop(spark):
+    rng = random.Random(12)
+    rows = [(i, rng.choice(["", "a", "b", "c", "d", "e"]), f"p{rng.randrange(5)}", f"r{rng.randrange(3)}") for i in range(200)]
+    want, ids, pairs = {}, set(), set()
+    for i, key, prompt, answer in rows:
+        reason = "missing_id" if not key else "duplicate_id" if key in ids else "duplicate_pair" if (prompt, answer) in pairs else None
+        want[i] = reason
+        if reason is None:
+            ids.add(key)
+            pairs.add((prompt, answer))
+    df = spark.createDataFrame(rows, "ord long, id string, prompt_group string, response string")
+    assert {r.ord: r.rejection for r in sft.deduplicate(df, "ord").collect()} == want
+
+
+def test_packed_records_against_a_loop(spark):
+    rng = random.Random(5)
+    docs = [(i * 3, [rng.randrange(100) for _ in range(rng.choice([0, 1, 3, 7, 40]))]) for i in range(50)]
+    stream = [x for _, ids in docs for x in ids]
+    for width in (1, 4, 30):
+        got = {r.record: r.tokens for r in packing.pack(spark.createDataFrame(docs, "doc_id long, ids array<int>"), width).collect()}
+        assert got == {k: stream[k * (width + 1) : (k + 1) * (width + 1)] for k in range(len(stream) // (width + 1))}
+
+
+def test_running_total_of_uneven_orders(spark):
+    rng = random.Random(8)
+    at = sorted({*range(0, 300), *(rng.randrange(10**12) for _ in range(200)), 10**15})
+    rows = [(f"g{rng.randrange(3)}", k, rng.randrange(9)) for k in at]
+    total, n, want = {}, {}, {}
+    for g, k, v in rows:
+        total[g], n[g] = total.get(g, 0) + v, n.get(g, 0) + 1
+        want[k] = total[g], n[g]
+    df = spark.createDataFrame(rows, "g string, k long, v long").repartition(5)
+    assert {r.k: (r.total, r.total_n) for r in assemble.running_total(df, "g", "k", "v").collect()} == want
 
 
 def test_language_outcomes(spark):
@@ -210,3 +253,10 @@ def test_id_set_hash_and_epochs(spark):
     later = {(r.doc_id, r.batch, r.place) for r in assemble.epoch_order(ids, "doc_id", 1, 2, 10, cursor=4).collect()}
     assert len(whole) == 103 and later == {x for x in whole if x[1] >= 4}
     assert {x[1] for x in whole} == set(range(11)) and assemble.epoch_order(ids, "doc_id", 1, 2, 10, drop_last=True).count() == 100
+
+
+def test_pairs_of_prompts_with_one_opening(spark, tmp_path):
+    rows = [(c, turn, role, text) for c, end in ((1, "red"), (3, "blue")) for turn, (role, text) in enumerate([("user", "Please answer " * 8 + end), ("assistant", "Yes.")])]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["ord"]: r["rejection"] for r in assembly_queries.sft_dedup_pairs(spark, str(tmp_path)).collect()}
+    assert got == {1: None, 3: None, 1000001: "duplicate_id", 1000003: "duplicate_id"}

@@ -42,29 +42,59 @@ def test_wikitext(spark):
 def test_instruction_sources(spark):
     row = spark.createDataFrame([("ask", "in", "out"), ("ask", "", "out"), ("", "", "out")], "instruction string, input string, output string").coalesce(1)
     whole = ["Instruction:\nask\n\nInput:\nin\n\nResponse:\nout", "Instruction:\nask\n\nResponse:\nout"]
-    for name in ("alpaca", "medalpaca", "medinstruct", "openmedinstruct"):
+    for name in ("alpaca", "chatdoctor", "medalpaca", "medinstruct", "openmedinstruct"):
         assert texts(row, name) == whole
-    assert texts(spark.createDataFrame([("q", "a")], "question string, answer string"), "chatdoctor") == ["Instruction:\nq\n\nResponse:\na"]
+    for name, kind in (("alpaca", "alpaca_instruction"), ("chatdoctor", "medical_dialogue_sft"), ("medalpaca", "medical_flashcard_sft")):
+        df = spark.createDataFrame([(0, " ", "q", "c", "a")], "source_index long, instruction string, prompt string, context string, answer string")
+        out = Z.standardize(df, Z.Source(name, name)).collect()[0]
+        assert out.text == "Instruction:\nq\n\nInput:\nc\n\nResponse:\na" and out.metadata == {"source_index": "0", "document_type": kind, "task_type": "sft"}
+    df = spark.createDataFrame([(0, "q", "yes", 3), (1, "q", None, 4)], "source_index long, question string, `claude-2` string, difficulty int")
+    assert [(r.text, r.metadata["difficulty"]) for r in Z.standardize(df, Z.Source("medinstruct", "m")).collect()] == [("Instruction:\nq\n\nResponse:\nyes", "3")]
+    df = spark.createDataFrame([("q", "a", "b")], "question string, `text-davinci-003-answer` string, answer string")
+    assert texts(df, "medinstruct") == ["Instruction:\nq\n\nResponse:\na"]
     chat = spark.createDataFrame([Row(messages=[Row(role="system", content="s"), Row(role="User", content=" hi "), Row(role="gpt", content="yo"), Row(role="human", content="more")])])
     assert texts(chat, "openmedinstruct") == ["Instruction:\nhi\nmore\n\nResponse:\nyo"]
 
 
 def test_question_sources(spark):
     df = spark.createDataFrame([("q", "1", "2", "3", "4", 2, "why"), ("q", "1", "2", "3", "4", 4, ""), ("q", "1", "", "3", "4", 0, "")], "question string, opa string, opb string, opc string, opd string, cop int, exp string").coalesce(1)
-    assert texts(df, "medmcqa") == ["Question:\nq\n\nOptions:\nA. 1\nB. 2\nC. 3\nD. 4\n\nAnswer: C. 3\n\nExplanation:\nwhy"]
+    assert texts(df, "medmcqa") == ["Instruction:\nq\n\nOptions:\nA. 1\nB. 2\nC. 3\nD. 4\n\nResponse:\nC. 3\n\nExplanation: why"]
+    assert texts(df.withColumn("cop", F.col("cop").cast("string")), "medmcqa") == []
     df = spark.createDataFrame([Row(question="q", context=Row(contexts=["a", " b "]), long_answer="l", final_decision="yes")])
-    assert texts(df, "pubmedqa") == ["Instruction:\nq\n\nInput:\na\nb\n\nResponse:\nYes. l"]
+    assert texts(df, "pubmedqa") == ["Instruction:\nq\n\nInput:\na\nb\n\nResponse:\nyes\n\nl"]
     assert texts(spark.createDataFrame([("q", "c", "l")], "question string, context string, long_answer string"), "pubmedqa") == ["Instruction:\nq\n\nInput:\nc\n\nResponse:\nl"]
 
 
 def test_xml_sources(spark):
-    xml = "<PubmedArticle><PMID>7</PMID><ArticleTitle>T</ArticleTitle><Abstract><AbstractText Label='AIM'>x</AbstractText><AbstractText Label='END'>y</AbstractText></Abstract></PubmedArticle>"
-    df = spark.createDataFrame([(xml,)], "xml string").withColumn("source_index", F.lit(0))
-    out = Z.standardize(df, Z.Source("pubmed_abstracts", "p")).collect()[0]
-    assert out.text == "T\n\nAIM: x\nEND: y" and out.metadata["pmid"] == "7"
-    xml = "<article><front><article-title>T</article-title><license><p>under CC BY-NC 4.0</p></license></front><body><sec><p>one</p><p>two</p></sec></body></article>"
-    out = Z.standardize(spark.createDataFrame([(xml,)], "xml string").withColumn("source_index", F.lit(0)), Z.Source("pmc_open_access", "p")).collect()[0]
-    assert out.text == "T\n\none\n\ntwo" and out.license == "cc-by-nc"
+    def made(name, xml):
+        return Z.standardize(spark.createDataFrame([(0, xml), (1, None)], "source_index long, xml string"), Z.Source(name, "p")).collect()
+
+    head = "<PubmedArticle><PMID>7</PMID><ArticleTitle>A <i>big</i> T</ArticleTitle><Journal><Title>J</Title></Journal><Abstract>"
+    rest = "<CopyrightInformation>(c) x</CopyrightInformation></Abstract><ArticleId IdType='pubmed'>7</ArticleId><ArticleId IdType='doi'>10.1/x</ArticleId></PubmedArticle>"
+    out = made("pubmed_abstracts", head + "<AbstractText Label='AIM'>we <i>see</i> it</AbstractText><AbstractText>plain &amp; short</AbstractText><AbstractText Label='END'> </AbstractText>" + rest)
+    assert [r.text for r in out] == ["A big T\n\nAIM: we see it\nplain & short"]
+    assert out[0].metadata == {"source_index": "0", "document_type": "biomedical_abstract", "pmid": "7", "title": "A big T", "journal": "J", "doi": "10.1/x", "copyright_information": "(c) x"}
+    assert made("pubmed_abstracts", head + rest) == []
+    xml = "<article><front><article-id pub-id-type='pmc'>PMC1</article-id><article-id pub-id-type='pmid'>9</article-id><article-title>T</article-title><permissions><license><p>see\n creativecommons.org/licenses/by/4.0 for more</p></license></permissions></front><body><sec><p>one <i>two</i>\n three</p><p> </p><p>four</p></sec></body></article>"
+    out = made("pmc_open_access", xml)
+    assert [(r.text, r.license) for r in out] == [("T\n\none two three\n\nfour", "cc-by-4.0")]
+    assert out[0].metadata == {"source_index": "0", "document_type": "biomedical_full_text_article", "pmcid": "PMC1", "pmid": "9", "title": "T", "license_statement": "see creativecommons.org/licenses/by/4.0 for more"}
+    with pytest.raises(Exception, match="ParseError"):
+        made("pmc_open_access", "<article>")
+    said = {"CC0 here": "cc0-1.0", "under CC BY 3.0": "cc-by-3.0", "http://creativecommons.org/licenses/by-nc-nd/4.0/": "cc-by-nc", "creativecommons.org/licenses/by-sa/3.0": "cc-by-sa", "cc by": "unknown", "": "unknown"}
+    df = spark.createDataFrame([(x,) for x in said], "x string").select("x", Z.article_license(F.col("x")).alias("y"))
+    assert {r.x: r.y for r in df.collect()} == said
+
+
+def test_metadata_of_books_and_pages(spark):
+    df = spark.createDataFrame([(0, "t", None, {"book_id": "12", "author": "A"})], "source_index long, text string, id string, metadata map<string, string>")
+    out = Z.standardize(df, Z.Source("project_gutenberg_public_domain", "g")).collect()[0]
+    assert out.metadata == {"source_index": "0", "document_type": "public_domain_book", "book_id": "12", "author": "A", "source_document_id": "12"}
+    df = spark.createDataFrame([(0, "t", "u", 0.5)], "source_index long, text string, url string, score double")
+    out = Z.standardize(df, Z.Source("fineweb_edu", "f")).collect()[0]
+    assert out.metadata == {"source_index": "0", "document_type": "educational_web_document", "url": "u", "educational_score": "0.5"}
+    df = spark.createDataFrame([(3_000_000_000, "t")], "source_index long, text string")
+    assert Z.standardize(df, Z.Source("tinystories", "f")).collect()[0].id.startswith("tinystories-train-3000000000-")
 
 
 def test_json_lines(spark, tmp_path):
