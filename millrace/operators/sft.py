@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from decimal import ROUND_CEILING, Decimal, localcontext
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import arrow as A, text as T
 from ..scratch import Scratch
+from ..session import ship
+from .tokenize import load
 
 IGNORE = -100
 
@@ -120,3 +124,83 @@ def masked_example(prompt: Column, response: Column, bos: int, eos: int, pad: in
     padded = lambda a, x: F.concat(a, F.array_repeat(F.lit(x), fill))
     labels = F.concat(F.array_repeat(F.lit(IGNORE), F.size(prompt) + 1), answer, F.array(F.lit(eos)))
     return F.struct(padded(ids, pad).alias("input_ids"), padded(F.array_repeat(F.lit(1), F.size(ids)), 0).alias("attention_mask"), padded(labels, IGNORE).alias("labels"))
+
+
+def encode_structured(df: DataFrame, path: str, length: int, bos: int, eos: int, pad: int) -> DataFrame:
+    """Adds encoded: response-masked arrays of `length` ids, counts, what was cut, and an error (null: usable).
+
+    df has instruction, context, context_type and response. If prompt and response don't fit, the context is shortened
+    first, by characters, to the longest beginning that fits; it is dropped if the response alone leaves no room, and
+    then the response is cut. The length of a prompt has to be known in tokens, so this is an Arrow function.
+    """
+    schema = "struct<input_ids: array<int>, attention_mask: array<int>, labels: array<int>, prompt_tokens: int, response_tokens: int, context_truncated: boolean, response_truncated: boolean, error: string>"
+
+    @F.pandas_udf(schema)
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        t = load(path)
+        ids = lambda text: t.encode(text, add_special_tokens=False).ids
+        for columns in batches:
+            rows = [_fitted(ids, *(x if isinstance(x, str) else "" for x in row), length, bos, eos, pad) for row in zip(*columns, strict=True)]
+            yield pd.DataFrame(rows, columns=["input_ids", "attention_mask", "labels", "prompt_tokens", "response_tokens", "context_truncated", "response_truncated", "error"])
+
+    ship(df.sparkSession)
+    return T.let(df, encoded=run("instruction", "context", "context_type", "response"))
+
+
+def prompt_of(instruction: str, context: str, kind: str) -> str:
+    """The prompt of one example; a context without a kind is an input."""
+    middle = f"\n\n{(kind if kind in ('input', 'options') else 'input').title()}:\n{context.strip()}" if context.strip() else ""
+    return f"Instruction:\n{instruction.strip()}{middle}\n\nResponse:\n"
+
+
+def _fitted(ids, instruction: str, context: str, kind: str, response: str, length: int, bos: int, eos: int, pad: int) -> tuple:
+    bare, answer, room, context = ids(prompt_of(instruction, "", "")), ids(response), length - 2, context.strip()
+    problem = "empty_response" if not answer else "instruction_too_long" if len(bare) + 1 > room else None
+    if problem:
+        return [], [], [], 0, 0, False, False, problem
+    prompt, shortened = ids(prompt_of(instruction, context, kind)), False
+    if context and len(prompt) + len(answer) > room:
+        prompt, shortened, budget, a, z = bare, True, room - len(answer), 0, len(context)
+        while len(bare) <= budget and a <= z:  # the longest beginning of the context whose prompt fits
+            middle = (a + z) // 2
+            tried = ids(prompt_of(instruction, context[:middle].rstrip(), kind))
+            if len(tried) <= budget:
+                prompt, a = tried, middle + 1
+            else:
+                z = middle - 1
+    kept = answer[: room - len(prompt)]
+    made = [bos, *prompt, *kept, eos]
+    fill = length - len(made)
+    labels = [IGNORE] * (1 + len(prompt)) + [*kept, eos] + [IGNORE] * fill
+    return made + [pad] * fill, [1] * len(made) + [0] * fill, labels, len(prompt), len(kept) + 1, shortened, len(kept) < len(answer), None
+
+
+def violations(examples: DataFrame, length: int, vocabulary: int, eos: int) -> DataFrame:
+    """(split, violation, examples) of prepared examples; empty if all is well.
+
+    examples: split, id, prompt_group, input_ids, attention_mask, labels. Ids and prompt groups must not stand in two splits.
+    """
+    supervised = lambda f: F.exists(F.zip_with("labels", f, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: (x["a"] != IGNORE) & x["b"])
+    active = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x.cast("int"))
+    wrong_label = F.exists(F.zip_with("labels", "input_ids", lambda a, b: (a != IGNORE) & (a != b)), lambda x: x)
+    rules = {
+        "shape": (F.size("input_ids") != length) | (F.size("attention_mask") != length) | (F.size("labels") != length),
+        "id_outside_vocabulary": F.exists("input_ids", lambda x: (x < 0) | (x >= vocabulary)), "mask_not_binary": F.exists("attention_mask", lambda x: ~x.isin(0, 1)),
+        "label_differs": wrong_label, "padding_supervised": supervised(F.transform("attention_mask", lambda x: x == 0)), "nothing_supervised": ~F.exists("labels", lambda x: x != IGNORE),
+        "end_not_supervised": F.get("labels", active - 1) != eos,
+    }
+    found = examples.select("split", F.explode(F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(True)), F.lit(n)) for n, c in rules.items())))).alias("violation"))
+    out = found.groupBy("split", "violation").agg(F.count("*").alias("examples"))
+    for key in ("id", "prompt_group"):
+        shared = overlaps(examples, key).select(F.concat_ws("/", "split_a", "split_b").alias("split"), F.lit(f"shared_{key}").alias("violation"), F.col("shared").alias("examples"))
+        out = out.union(shared)
+    return out
+
+
+def crop_batches(examples: DataFrame, batch: str = "batch") -> DataFrame:
+    """examples with their arrays cut to the longest active row of their batch; a batch with less than two active places is an error."""
+    active = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x.cast("int"))
+    longest = examples.groupBy(batch).agg(F.max(active).alias("_longest"))
+    longest = longest.withColumn("_longest", F.when(F.col("_longest") < 2, F.raise_error(F.lit("a batch needs two active places at least")).cast("int")).otherwise(F.col("_longest")))
+    out = examples.join(longest, batch)
+    return out.select(*(F.slice(c, F.lit(1), F.col("_longest")).alias(c) if c in ("input_ids", "attention_mask", "labels") else c for c in examples.columns))

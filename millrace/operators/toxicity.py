@@ -91,6 +91,40 @@ def scorer(make: Callable[[], Scorer]) -> Callable[[Column], Column]:
     return run
 
 
+def predict(df: DataFrame, make: Callable[[], Scorer], size: int = 300, stride: int = 200, most: int = 5, text: str = "text") -> DataFrame:
+    """Adds scores (the largest of each label over the chosen chunks, to six digits) and chunks_processed.
+
+    A text is cut into overlapping windows of words, of which at most `most` evenly spaced ones are scored, so that a
+    passage within a long text counts and the work for each text is bounded. Blank texts have no scores.
+    """
+    if size < 1 or stride < 1 or stride > size or most < 1:
+        raise ValueError("size, stride and most must be positive, and windows must overlap or touch")
+
+    @F.pandas_udf("map<string, double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = make()
+        for lists in batches:
+            flat = [c for held in lists for c in held]
+            scores, out, at = model.score(flat) if flat else [], [], 0
+            for held in lists:
+                top: dict[str, float] = {}
+                for one in scores[at : at + len(held)]:
+                    for label, value in one.items():
+                        top[label] = max(top.get(label, 0.0), float(value))
+                out.append({label: round(top[label], 6) for label in sorted(top)})
+                at += len(held)
+            yield pd.Series(out, index=lists.index)
+
+    df = T.let(df, x_all=F.when(T.blank(F.coalesce(F.col(text), F.lit(""))), F.expr("cast(array() as array<string>)")).otherwise(chunks(F.col(text), size, stride)))
+    df = T.let(df, x_chunks=F.transform(even_indices(F.size("x_all"), most), lambda i: F.get("x_all", i)))
+    return df.withColumns({"scores": run("x_chunks"), "chunks_processed": F.size("x_chunks")}).drop("x_all", "x_chunks")
+
+
+def snake_labels(names: dict[int, str]) -> list[str]:
+    """A model's labels in the order of their numbers, as lower-case words joined by underscores."""
+    return [re.sub(r"[^a-z0-9]+", "_", names[k].strip().lower()).strip("_") for k in sorted(names)]
+
+
 def strongest(chunk_scores: DataFrame, key: str, label: str = "label", score: str = "score") -> DataFrame:
     """(key, scores): the largest score of each label over a document's chunks, to six digits."""
     top = chunk_scores.groupBy(key, label).agg(F.bround(F.max(score), 6).alias("s"))

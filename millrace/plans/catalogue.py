@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import assembly_queries, dedup_queries, policy_queries, text_queries  # noqa: F401
+from . import assembly_queries, build_queries, dedup_queries, policy_queries, text_queries  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 

@@ -62,10 +62,10 @@ def validate_licenses(df: DataFrame, c: dict) -> tuple[DataFrame, DataFrame | No
 
 
 def audit_toxicity(df: DataFrame, c: dict) -> tuple[DataFrame, DataFrame | None]:
-    """Annotates; only an automatic reject takes rows out. c["scorer"] makes a model; without one nothing is scored."""
+    """Annotates; only an automatic reject takes rows out. c["scorer"] makes a model, which scores chunks; without one nothing is scored."""
     p = c.get("toxicity", toxicity.ToxicityPolicy())
-    scores = toxicity.scorer(c["scorer"])(F.col("text")) if "scorer" in c else F.expr("cast(map() as map<string, double>)")
-    out = toxicity.decide(toxicity.context(df.withColumn("scores", scores), p), p)
+    scored = toxicity.predict(df, c["scorer"], **c.get("chunks", {})) if "scorer" in c else df.withColumns({"scores": F.expr("cast(map() as map<string, double>)"), "chunks_processed": F.lit(0)})
+    out = toxicity.decide(toxicity.context(scored, p), p)
     return out.where("decision <> 'reject'"), out.where("decision = 'reject'").select("doc_id", "maximum_label", "maximum_score", F.substring("text", 1, 500).alias("text_preview"))
 
 

@@ -60,10 +60,15 @@ def append_unseen(df: DataFrame, path: str, order: str, most: int | None = None)
     return spark.read.parquet(path).count() - known
 
 
-def write_corpus(df: DataFrame, path: str, order: str) -> None:
-    """One line per document in order, white space flattened; blank documents are left out."""
-    lines = df.select(order, T.flatten_line(F.col("text")).alias("value")).where("value <> ''")
-    lines.repartitionByRange(order).sortWithinPartitions(order).select("value").write.mode("errorifexists").text(path)
+def write_corpus(df: DataFrame, path: str, order: str, flatten: bool = True, separator: str = "\n") -> None:
+    """Documents in order, one line each with white space flattened, or as they are; the separator stands between them.
+
+    Blank documents are left out.
+    """
+    text = T.flatten_line(F.col("text")) if flatten else T.strip(F.col("text"))
+    lines = df.select(order, text.alias("value")).where("value <> ''")
+    rows = lines.repartitionByRange(order).sortWithinPartitions(order).select("value")
+    rows.write.mode("errorifexists").option("lineSep", separator).text(path)
 
 
 def write_immutable(df: DataFrame, path: str, **options) -> None:

@@ -104,12 +104,12 @@ def articles(df: DataFrame, line: str = "text", order: str = "source_index", gro
     df = df.withColumn("_part", F.coalesce(F.col("_h.title"), T.strip(F.col("_line")))).where("_part <> ''")
     inside = Window.partitionBy(*keys, "article").orderBy(order)
     df = df.withColumn("_same", F.coalesce(F.lag("_part").over(inside) == F.col("_part"), F.lit(False))).where("not _same")
-    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_part").alias("p"), (F.coalesce(F.col("_h.level"), F.lit(0)) > 1).alias("deep"))))
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_part").alias("p"), F.coalesce(F.col("_h.level"), F.lit(0)).alias("level"))))
     out = df.groupBy(*keys, "article").agg(parts.alias("_ps"), F.max(F.when(F.col("_h.level") == 1, F.col("_h.title"))).alias("title"), F.max(order).alias("source_end_index"))
     return out.select(
         *([group] if group else []), "article", F.col("_ps")[0]["o"].alias("source_index"), "source_end_index", "title",
         F.array_join(F.transform("_ps", lambda x: x["p"]), "\n\n").alias("text"), F.size("_ps").cast("long").alias("parts"),
-        F.transform(F.filter("_ps", lambda x: x["deep"]), lambda x: x["p"]).alias("headings"),
+        F.transform(F.filter("_ps", lambda x: x["level"] > 1), lambda x: F.struct(x["p"].alias("heading"), x["level"].alias("level"), x["o"].alias("source_index"))).alias("headings"),
     )
 
 
