@@ -27,6 +27,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from .arrow import slices
 from .store import Scratch
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -192,7 +193,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
         name, temporary = f"{base}/pages-{part:05d}.wacz", f"{base}/.{uuid.uuid4().hex}"
         n, index, z, out = 0, [], None, None
         try:
-            for batch in batches:
+            for batch in slices(batches, "html"):
                 for row in batch.to_pylist():
                     if z is None:
                         out = system.open_output_stream(temporary)
