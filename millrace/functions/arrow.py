@@ -14,24 +14,30 @@ FORMS = ("NFC", "NFD", "NFKC", "NFKD")
 HIDDEN = ("script", "style", "noscript")
 
 
-def _mapped(f: Callable[[str], str]) -> Callable[[Column], Column]:
+def _mapped(f: Callable[[str], str], needs: Callable[[Column], Column]) -> Callable[[Column, Column], Column]:
+    """A function of the texts that need it: only these are sent to Python, for all others the second column counts."""
+
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(f, na_action="ignore")
 
-    return run
+    return lambda c, otherwise: F.coalesce(run(F.when(needs(c), c)), otherwise)
+
+
+def beyond_ascii(c: Column) -> Column:
+    return F.length(c) != F.octet_length(c)
 
 
 def normalize(c: Column, form: str = "NFKC") -> Column:
-    """A Unicode normal form; texts of ASCII alone are passed through."""
+    """A Unicode normal form; texts of ASCII alone stay in the JVM."""
     if form not in FORMS:
         raise ValueError(f"unknown Unicode form {form!r}: one of {', '.join(FORMS)} is wanted")
-    return _mapped(lambda t: t if t.isascii() else unicodedata.normalize(form, t))(c)
+    return _mapped(lambda t: unicodedata.normalize(form, t), beyond_ascii)(c, c)
 
 
 def casefold(c: Column) -> Column:
-    """Full Unicode case folding."""
-    return _mapped(str.casefold)(c)
+    """Full Unicode case folding; texts of ASCII alone are lowered in the JVM."""
+    return _mapped(str.casefold, beyond_ascii)(c, F.lower(c))
 
 
 class _Text(HTMLParser):
@@ -67,8 +73,9 @@ def html_text(text: str, separator: str = "\n") -> str:
 
 
 def remove_html(c: Column, paragraphs: bool = True) -> Column:
+    """The text of markup; texts without an angle bracket or an ampersand stay in the JVM."""
     separator = "\n" if paragraphs else " "
-    return _mapped(lambda t: html_text(t, separator))(c)
+    return _mapped(lambda t: html_text(t, separator), lambda x: x.contains("<") | x.contains(">") | x.contains("&"))(c, c)
 
 
 def repaired(text: str) -> str:
@@ -91,4 +98,4 @@ def repaired(text: str) -> str:
 
 
 def repair_encoding(c: Column) -> Column:
-    return _mapped(repaired)(c)
+    return _mapped(repaired, beyond_ascii)(c, c)

@@ -39,17 +39,17 @@ def token_count(c: Column, path: str, eos: int = 1) -> Column:
     return (F.size(encode(c, path)) + eos).cast("long")
 
 
-def metrics(df: DataFrame, path: str, by: str) -> DataFrame:
-    """Tokenizer metrics overall and by one column: tokens, ratios, single-character and round-trip rates, length summary."""
+def metrics(df: DataFrame, path: str, by: str, unknown: str = "<unk>") -> DataFrame:
+    """Tokenizer metrics overall and by one column: tokens, ratios, single-character, unknown and round-trip rates, length summary."""
 
-    @F.pandas_udf("struct<tokens: long, singles: long, same: boolean>")
+    @F.pandas_udf("struct<tokens: long, singles: long, unknowns: long, same: boolean>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         t = load(path)
         for texts in batches:
             texts = texts.fillna("").tolist()
             made = t.encode_batch(texts, add_special_tokens=False)
             back = t.decode_batch([e.ids for e in made], skip_special_tokens=False)
-            yield pd.DataFrame({"tokens": [len(e.ids) for e in made], "singles": [sum(len(x) == 1 for x in e.tokens) for e in made], "same": [a == b for a, b in zip(texts, back, strict=True)]})
+            yield pd.DataFrame({"tokens": [len(e.ids) for e in made], "singles": [sum(len(x) == 1 for x in e.tokens) for e in made], "unknowns": [e.ids.count(t.token_to_id(unknown)) for e in made], "same": [a == b for a, b in zip(texts, back, strict=True)]})
 
     ship(df.sparkSession)
     rows = df.select(by, F.length("text").alias("c"), F.octet_length("text").alias("b"), F.size(T.space_words(F.col("text"))).alias("w"), run(F.col("text")).alias("e")).select(by, "c", "b", "w", "e.*")
@@ -57,7 +57,7 @@ def metrics(df: DataFrame, path: str, by: str) -> DataFrame:
     total = F.sum("tokens")
     out = rows.groupingSets([[], [by]], by).agg(
         F.grouping(by).alias("_all"), F.count("*").alias("documents"), total.alias("tokens"), rate(total, F.sum("w")).alias("tokens_per_word"), rate(F.sum("c"), total).alias("characters_per_token"),
-        rate(F.sum("b"), total).alias("bytes_per_token"), rate(F.sum("singles"), total).alias("single_character_rate"), F.bround(F.avg(F.col("same").cast("double")), 6).alias("round_trip_rate"),
+        rate(F.sum("b"), total).alias("bytes_per_token"), rate(F.sum("singles"), total).alias("single_character_rate"), rate(F.sum("unknowns"), total).alias("unknown_rate"), F.bround(F.avg(F.col("same").cast("double")), 6).alias("round_trip_rate"),
         F.min("tokens").alias("tokens_min"), F.max("tokens").alias("tokens_max"), F.percentile("tokens", F.lit(0.5)).alias("tokens_median"), F.percentile("tokens", F.lit(0.95)).alias("tokens_p95"),
     )
     return out.withColumn(by, F.when(F.col("_all") == 1, "all").otherwise(F.col(by))).drop("_all")
@@ -69,6 +69,18 @@ def fragmentation(terms: DataFrame, path: str, column: str) -> DataFrame:
     return terms.select(column, F.size(encode(F.concat(F.lit(" "), F.col(column)), path)).cast("long").alias("tokens"))
 
 
+def common_tokens(df: DataFrame, path: str, most: int = 50) -> DataFrame:
+    """(token_id, token, n): the most frequent tokens of a text column, ties by their numbers."""
+    ship(df.sparkSession)
+
+    @F.pandas_udf("string")
+    def name(ids: pd.Series) -> pd.Series:
+        return ids.map(load(path).id_to_token)
+
+    counted = df.select(F.explode(encode(F.col("text"), path)).alias("token_id")).groupBy("token_id").agg(F.count("*").alias("n"))
+    return counted.orderBy(F.desc("n"), "token_id").limit(most).select("token_id", name("token_id").alias("token"), "n")
+
+
 def vocabulary_use(df: DataFrame, path: str) -> DataFrame:
     """One row: vocabulary size, distinct ids in use, and their share."""
     ship(df.sparkSession)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as S
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as S
 
 from ..functions import text as T
 from ..operators.assemble import running_total
@@ -15,21 +15,28 @@ KEYS = ("pmcid", "pmid", "doi", "source_document_id", "id")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: S.StructType = DOCUMENT) -> DataFrame:
-    """Records of a JSON-lines file or folder; blank lines are skipped and a broken or non-object line is an error."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """Records of a JSON-lines file or folder; blank lines are skipped and a broken or non-object line is an error.
+
+    The error names the file and shows the line.
+    """
+    kept = S.StructType([*schema.fields, S.StructField("_broken", S.StringType())])
+    rows = spark.read.schema(kept).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path)
+    first = schema.fields[0]
+    problem = F.concat(F.lit("not a JSON object in "), F.col("_metadata.file_path"), F.lit(": "), F.substring("_broken", 1, 200))
+    checked = F.when(F.col("_broken").isNotNull(), F.raise_error(problem).cast(first.dataType)).otherwise(F.col(first.name))
+    return rows.select(checked.alias(first.name), *(f.name for f in schema.fields[1:]))
 
 
 def read_texts(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
-    """(text) of a JSON-lines file: stripped, not empty; with most, the first in file order."""
-    rows = spark.read.schema("text string").option("mode", "FAILFAST").json(path).withColumn("_o", F.monotonically_increasing_id())
-    rows = rows.select("_o", T.strip(F.col("text")).alias("text")).where("text <> ''")
+    """(text) of a JSON-lines file or folder: stripped, not empty; with most, the first in the order of paths and lines."""
+    rows = spark.read.schema("text string").option("mode", "FAILFAST").json(path)
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    rows = rows.select(place.alias("_o"), T.strip(F.col("text")).alias("text")).where("text <> ''")
     return (rows.orderBy("_o").limit(most) if most is not None else rows).select("text")
 
 
 def write_jsonl(df: DataFrame, path: str) -> int:
     """Write compact JSON lines to a folder that must not exist; the number of rows, counted while they are written."""
-    from pyspark.sql import Observation
-
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").json(path)
     return int(seen.get["n"])
@@ -56,8 +63,9 @@ def append_unseen(df: DataFrame, path: str, order: str, most: int | None = None)
             raise
     if most is not None:
         rows = running_total(rows.withColumns({"_g": F.lit(0), "_one": F.lit(1)}), "_g", order, "_one", "_k").where(F.col("_k_n") <= most - known).drop("_g", "_one", "_k", "_k_n")
-    rows.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - known
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return int(seen.get["n"])
 
 
 def write_corpus(df: DataFrame, path: str, order: str, flatten: bool = True, separator: str = "\n") -> None:

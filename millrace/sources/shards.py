@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.packing import token_type
 
 
+def filesystem(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder (a path of this machine or any URI that Arrow knows) and its path there."""
+    system, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    return system, base.rstrip("/")
+
+
 def write_shards(records: DataFrame, folder: str, vocabulary: int, wanted: str = "auto") -> DataFrame:
     """Write (record, shard, tokens) to shard-NNNNN.bin files of a shared folder; (shard, path, records) of each.
 
@@ -22,14 +29,16 @@ def write_shards(records: DataFrame, folder: str, vocabulary: int, wanted: str =
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("record")
         shard = int(pdf["shard"].iloc[0])
-        os.makedirs(folder, exist_ok=True)
-        path = os.path.join(folder, f"shard-{shard:05d}.bin")
+        system, base = filesystem(folder)
+        system.create_dir(base, recursive=True)
+        path = f"{base}/shard-{shard:05d}.bin"
         rows = np.stack([np.asarray(t) for t in pdf["tokens"]])
         if rows.min() < 0 or rows.max() >= vocabulary:
             raise ValueError(f"shard {shard} holds an id outside 0..{vocabulary - 1}")
-        temporary = f"{path}.{os.getpid()}.partial"
-        rows.astype(kind).tofile(temporary)
-        os.replace(temporary, path)
+        temporary = f"{base}/.{uuid.uuid4().hex}.partial"
+        with system.open_output_stream(temporary) as out:
+            out.write(rows.astype(kind).tobytes())
+        system.move(temporary, path)
         return pd.DataFrame({"shard": [shard], "path": [path], "records": [len(rows)]})
 
     return records.select("record", "shard", "tokens").groupBy("shard").applyInPandas(run, "shard long, path string, records long")
@@ -64,3 +73,17 @@ def at(records: DataFrame, index: int) -> DataFrame:
     if index < 0:
         index += records.count()
     return records.where(F.col("record") == index)
+
+
+def read_record(folder: str, width: int, kind: str, index: int) -> np.ndarray:
+    """One record of a folder's shards by its number, from the end if negative: a look at the sizes and one range read."""
+    size = width * np.dtype(kind).itemsize
+    system, base = filesystem(folder)
+    found = sorted((f.path, f.size // size) for f in system.get_file_info(fs.FileSelector(base)) if f.path.endswith(".bin"))
+    left = index + sum(n for _, n in found) if index < 0 else index
+    for path, n in found if left >= 0 else ():
+        if left < n:
+            with system.open_input_file(path) as source:
+                return np.frombuffer(source.read_at(size, left * size), np.dtype(kind).newbyteorder("<")).astype(np.int64)
+        left -= n
+    raise IndexError(index)

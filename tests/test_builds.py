@@ -274,3 +274,18 @@ def test_selection_errors(spark):
         select.compared(one.selectExpr("profile as source", "1.0D as l"), one.where("profile = 'p'").selectExpr("profile as source", "1.0D as l"), "source", "l").collect()
     deep = spark.createDataFrame([({"a": {"b": "x"}},)], "m map<string, map<string, string>>")
     assert deep.select(select.nested(F.col("m"), "a", "b"), select.nested(F.col("m"), "z", "b")).first() == ("x", None)
+
+
+def test_tokenizer_comparison(spark):
+    df = spark.createDataFrame([("the cat the", "x"), ("dog", "y"), (None, "y")], "text string, source string")
+    t = tokenize.load(FILE)
+    ids = [i for x in ("the cat the", "dog") for i in t.encode(x, add_special_tokens=False).ids]
+    use = tokenize.vocabulary_use(df, FILE).first()
+    assert (use.vocabulary, use.used) == (t.get_vocab_size(), len(set(ids)))
+    top = tokenize.common_tokens(df, FILE, 3).collect()
+    assert [(r.token_id, r.n) for r in top] == sorted(((i, ids.count(i)) for i in set(ids)), key=lambda x: (-x[1], x[0]))[:3] and top[0].token == t.id_to_token(top[0].token_id)
+    m = {r.source: r for r in tokenize.metrics(df, FILE, "source").collect()}
+    assert m["all"].tokens == len(ids) and m["all"].unknown_rate == 0 and m["all"].round_trip_rate == 1
+    better = tokenize.compare({"tokens_per_word": 2.0, "characters_per_token": 3.0, "single_character_rate": 0.5}, {"tokens_per_word": 1.0, "characters_per_token": 4.0, "single_character_rate": 0.6})
+    assert better == {"change_percent": {"tokens_per_word": -50.0, "characters_per_token": 33.333333, "single_character_rate": 20.0}, "recommended": "other"}
+    assert tokenize.compare({"tokens_per_word": 1.0}, {"tokens_per_word": 2.0})["recommended"] == "baseline"

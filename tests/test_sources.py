@@ -106,8 +106,12 @@ def test_json_lines(spark, tmp_path):
     with pytest.raises(Exception, match="ALREADY_EXISTS"):
         files.write_jsonl(df, str(tmp_path / "out"))
     (tmp_path / "bad.jsonl").write_text('{"id": "1"\n')
-    with pytest.raises(Exception):
+    with pytest.raises(Exception, match=r"not a JSON object in .*bad.jsonl: ..id"):
         files.read_jsonl(spark, str(tmp_path / "bad.jsonl")).collect()
+    (tmp_path / "two").mkdir()
+    for name in ("b", "a"):
+        (tmp_path / "two" / f"{name}.jsonl").write_text("".join(json.dumps({"text": f"{name}{i}"}) + "\n" for i in range(5)))
+    assert [r.text for r in files.read_texts(spark, str(tmp_path / "two"), 7).collect()] == [f"a{i}" for i in range(5)] + ["b0", "b1"]
 
 
 def test_resumable_append(spark, tmp_path):
@@ -136,6 +140,11 @@ def test_shards(spark, tmp_path):
     back = shards.read_shards(spark, str(tmp_path / "s"), 5, "uint16")
     assert [r.tokens for r in back.orderBy("record").collect()] == [r.tokens for r in records.orderBy("record").collect()]
     assert shards.at(back, -1).collect()[0].tokens == [45, 46, 47, 48, 49]
+    for k in (0, 4, 9, -1, -10):
+        assert shards.read_record(f"file://{tmp_path}/s", 5, "uint16", k).tolist() == records.orderBy("record").collect()[k].tokens
+    for k in (10, -11):
+        with pytest.raises(IndexError):
+            shards.read_record(str(tmp_path / "s"), 5, "uint16", k)
     with pytest.raises(ValueError):
         shards.read_shards(spark, str(tmp_path / "s"), 7, "uint16")
 
