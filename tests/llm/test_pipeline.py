@@ -1,5 +1,7 @@
 """The pipeline's stages, each against plain Python on its own input."""
 
+import random
+
 import corpus_pipeline
 import pytest
 
@@ -86,3 +88,33 @@ def test_near_dedup_with_repeated_and_missing_ids(spark):
 def test_run(spark, sf, stages):
     rows = corpus_pipeline.run(spark, sf).collect()
     assert sum(r.length for r in rows) == sum(r.length for r in stages[5])
+
+
+def words(n, seed):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+
+
+def test_edges_of_the_whole_run(spark, tmp_path):
+    """Null and repeated ids, null and very long texts, long white space, repeated rows, clashing columns."""
+    base = [(i, words(80 + i, i), "en", "s") for i in range(40)]
+    odd = [(None, words(90, 100), None, None), (None, words(95, 101), "en", "s"), (3, base[3][1], "en", "s"), (3, words(99, 102), "en", "s"), (50, None, "en", "s"), (51, "", "en", "s"), (52, base[5][1], "en", "s")]
+    odd += [(53, words(60, 103) + "\n" * 500_000 + words(60, 104), "en", "s"), (54, words(150_000, 105), "en", "s"), (55, base[7][1] + " " + words(60, 106), "en", "s"), (56, "mail a@b.co " + words(70, 107), "en", "s")]
+    rows = [(*r, len(r[1] or ""), 1, "x", 2) for r in base + odd]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_words int, spans string, place int")
+    held, names = docs, docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        held = stage(spark, held, "")
+        assert held.columns == names
+        held = spark.createDataFrame(held.collect(), held.schema)
+    got = held.collect()
+    ids = sorted((r.doc_id for r in got if r.doc_id is not None))
+    assert {50, 51, 52}.isdisjoint(ids) and {53, 54, 55, 56} <= set(ids) and len(ids) == len(set(ids)) and sum(r.doc_id is None for r in got) == 2
+    by = {r.doc_id: r for r in got}
+    assert base[7][1] not in by[55].text and "[EMAIL]" in by[56].text and all(r.n_chars == len(r.text) for r in got)
+    packed = corpus_pipeline.STAGES[-1][1](spark, held, "").collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in got}
+    for name in ("documents", "empty"):
+        (docs if name == "documents" else docs.where("false")).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    assert sum(r.length for r in corpus_pipeline.run(spark, f"{tmp_path}/documents").collect()) == sum(r.length for r in packed)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").collect() == []
