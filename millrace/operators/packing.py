@@ -14,8 +14,9 @@ def pack(docs: DataFrame, width: int, order: str = "doc_id", ids: str = "ids", p
     and one for each record edge in it.
     """
     size = width + 1
-    sized = docs.select(F.lit(0).alias("_g"), order, ids, F.size(ids).cast("long").alias("_n")).where("_n > 0")
-    placed = running_total(sized, "_g", order, "_n", "_end").select(ids, "_n", (F.col("_end") - F.col("_n")).alias("_start"), "_end")
+    sized = docs.select(F.lit(0).alias("_g"), order, ids, F.size(ids).cast("long").alias("_n"))
+    # documents without ids are left out after the running total, whose passes over the order alone then read no ids
+    placed = running_total(sized, "_g", order, "_n", "_end").where("_n > 0").select(ids, "_n", (F.col("_end") - F.col("_n")).alias("_start"), "_end")
     first, last = F.floor(F.col("_start") / size), F.floor((F.col("_end") - 1) / size)
 
     def piece(record: Column) -> Column:

@@ -32,9 +32,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, as Spark reads it.
 
     A file that can't be split into as many parts as half the cores is dealt out anew, as text operators are bound by
-    the processor; large tables have more parts than that and are left alone.
+    the processor; large tables have more parts than that and are left alone. Rows are dealt by their first column, the
+    id, so they lie in the same place whatever columns a plan reads.
     """
     ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+    return df.repartition(cores, df.columns[0]) if df.rdd.getNumPartitions() * 2 <= cores else df
