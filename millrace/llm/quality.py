@@ -110,18 +110,16 @@ def _quantiles(rows: DataFrame, by: list[str], columns: dict[str, Column], at: d
 
 
 def _distance() -> Column:
-    """Squared Mahalanobis distance by forward substitution with the Cholesky factor in the columns l_i_j."""
-    z: list[Column] = []
-    for i, x in enumerate(FEATURES):
-        v = F.col(x) - F.col(f"m_{i}")
-        for j in range(i):
-            v = v - F.col(f"l_{i}_{j}") * z[j]
-        z.append(v / F.col(f"l_{i}_{i}"))
-    return sum((v * v for v in z[1:]), z[0] * z[0])
+    """Squared Mahalanobis distance: the length of the row's offset times the inverse Cholesky factor in w_i_j."""
+    total = F.lit(0.0)
+    for i in range(len(FEATURES)):
+        z = sum((F.col(f"w_{i}_{j}") * (F.col(FEATURES[j]) - F.col(f"m_{j}")) for j in range(1, i + 1)), F.col(f"w_{i}_0") * (F.col(FEATURES[0]) - F.col("m_0")))
+        total = total + F.pow(z, F.lit(2.0))
+    return total
 
 
 def _factor(moments: DataFrame) -> DataFrame:
-    """(.., m_i, l_i_j) from (.., m_i, c_i_j): the covariance with its floor, factored column by column."""
+    """(.., m_i, l_i_j, w_i_j) from (.., m_i, c_i_j): the covariance with its floor, factored column by column, and the factor's inverse."""
     d = len(FEATURES)
     df = moments
     for j in range(d):
@@ -135,7 +133,13 @@ def _factor(moments: DataFrame) -> DataFrame:
                 v = v - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
             df = df.withColumn(f"l_{i}_{j}", v / F.col(f"l_{j}_{j}"))
     rest = [c for c in moments.columns if c[:2] not in ("m_", "c_")]
-    return df.select(*rest, *(f"m_{i}" for i in range(d)), *(f"l_{i}_{j}" for i in range(d) for j in range(i + 1)))
+    df = let(df.select(*rest, *(f"m_{i}" for i in range(d)), *(f"l_{i}_{j}" for i in range(d) for j in range(i + 1))), ready=F.lit(True)).drop("ready")
+    inverse: dict[tuple[int, int], Column] = {}
+    for j in range(d):
+        inverse[j, j] = 1 / F.col(f"l_{j}_{j}")
+        for i in range(j + 1, d):
+            inverse[i, j] = -sum((F.col(f"l_{i}_{k}") * inverse[k, j] for k in range(j + 1, i)), F.col(f"l_{i}_{j}") * inverse[j, j]) / F.col(f"l_{i}_{i}")
+    return df.select("*", *(c.alias(f"w_{i}_{j}") for (i, j), c in inverse.items()))
 
 
 def _moments(rows: DataFrame, by: list[str]) -> DataFrame:
