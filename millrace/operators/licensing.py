@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
 
+#: The actions of a policy and what separates licences in one field.
 ACTIONS = ("pass", "review", "reject")
 SEPARATOR = r"(?i)\s*(?:,|;|\+|\||\band\b)\s*"
 
@@ -63,21 +64,38 @@ class LicensePolicy:
         object.__setattr__(self, "lookup", lookup)
 
 
+def _parts(c: Column, table: Column) -> Column:
+    """The identifiers of one licence field; one that is an alias as a whole isn't split, so aliases may hold the word `and`."""
+    whole = F.element_at(table, canonical(c))
+    cut = F.filter(F.transform(F.split(F.trim(c), SEPARATOR), lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(T.blank(F.coalesce(c, F.lit(""))), F.expr("cast(array() as array<string>)")).when(whole.isNotNull(), F.array(whole)).when(F.size(cut) > 0, cut).otherwise(F.array(F.trim(c)))
+
+
 def normalize(df: DataFrame, p: LicensePolicy, column: str = "license") -> DataFrame:
-    """Adds declared (recognised licences, each once, in order) and unknown_ids of a string column.
+    """Adds declared (recognised licences, each once, in order) and unknown_ids of a column of strings or of lists of strings.
 
-    A value that is an alias as a whole isn't split, so aliases may hold the word `and`.
+    A value of any other type is one unknown identifier.
     """
     table = F.create_map(*(F.lit(x) for kv in p.lookup.items() for x in kv))
-    whole = F.element_at(table, canonical(F.col(column)))
-    nothing = F.expr("cast(array() as array<string>)")
-    cut = F.filter(F.transform(F.split(F.trim(F.col(column)), SEPARATOR), lambda x: F.trim(x)), lambda x: x != "")
-    parts = F.when(T.blank(F.col(column)), nothing).when(whole.isNotNull(), F.array(whole)).when(F.size(cut) > 0, cut).otherwise(F.array(F.trim(F.col(column))))
+    kind = df.schema[column].dataType.simpleString()
+    if kind == "array<string>":
+        parts = F.flatten(F.transform(F.coalesce(F.col(column), F.expr("cast(array() as array<string>)")), lambda x: _parts(x, table)))
+    elif kind == "string":
+        parts = _parts(F.col(column), table)
+    else:
+        parts = F.array_compact(F.array(F.col(column).cast("string")))
     df = T.let(df, l_parts=parts)
-    known = lambda x: F.element_at(table, canonical(x))
+    known = lambda x: F.element_at(table, canonical(x)) if kind in ("string", "array<string>") else F.lit(None).cast("string")
     return df.withColumns({"declared": F.array_distinct(F.filter(F.transform("l_parts", known), lambda x: x.isNotNull())), "unknown_ids": F.filter("l_parts", lambda x: known(x).isNull())}).drop("l_parts")
 
 
+def missing(df: DataFrame, column: str) -> Column:
+    """Whether a licence field says nothing: null, blank, or a list without a text."""
+    if df.schema[column].dataType.simpleString() == "array<string>":
+        return ~F.exists(F.coalesce(F.col(column), F.expr("cast(array() as array<string>)")), lambda x: ~T.blank(F.coalesce(x, F.lit(""))))
+    return T.blank(F.coalesce(F.col(column).cast("string"), F.lit("")))
+
+
 def decide(df: DataFrame, p: LicensePolicy, dataset: str = "dataset", column: str = "license") -> DataFrame:
     """Adds license_decision, license_status, license_reasons, missing_ids and unexpected_ids to normalised rows."""
     names = lambda values: F.array(*map(F.lit, values)).cast("array<string>")
@@ -91,7 +109,7 @@ def decide(df: DataFrame, p: LicensePolicy, dataset: str = "dataset", column: st
     banned = names([n for n, x in p.licenses.items() if not x.allowed])
     manual = names([n for n, x in p.licenses.items() if x.requires_review])
     rules = [
-        (T.blank(F.col(column)), "missing_declared_license", p.missing), (F.size("unknown_ids") > 0, "unknown_license_identifier", p.unknown),
+        (missing(df, column), "missing_declared_license", p.missing), (F.size("unknown_ids") > 0, "unknown_license_identifier", p.unknown),
         (F.size("missing_ids") > 0, "expected_license_missing", p.mismatch), (F.size("unexpected_ids") > 0, "unexpected_declared_license", p.mismatch),
         (F.arrays_overlap("declared", banned), "license_not_allowed", "reject"), (F.arrays_overlap("declared", manual), "license_requires_manual_review", "review"),
     ]

@@ -12,7 +12,10 @@ from datetime import date, timedelta
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-MOST = 9999  # rows that one query of such a service gives
+MOST = 9999  # rows that one query of the abstracts' database gives
+#: The answers that a later try may mend, and the dates that a query can go by.
+RETRY = {400, 408, 429, 500, 502, 503, 504}
+DATES = ("pdat", "crdt", "edat")
 
 
 class Day(InputPartition):
@@ -35,7 +38,7 @@ def request(url: str, fields: dict[str, str], tries: int = 5, wait: float = 1.0,
         try:
             return send(url, body)
         except urllib.error.HTTPError as e:
-            if (e.code != 429 and e.code < 500) or n == tries - 1:
+            if e.code not in RETRY or n == tries - 1:
                 raise
             after = e.headers.get("Retry-After") if e.headers else None
             sleep(float(after) if after and after.isdigit() else wait * 2**n)
@@ -52,6 +55,8 @@ class EntrezReader(DataSourceReader):
             if not options.get(name):
                 raise ValueError(f"option {name} is needed")
         self.options = dict(options)
+        if self.options.get("datetype", "pdat").lower() not in DATES or self.options.get("overflow", "error") not in ("error", "truncate"):
+            raise ValueError(f"datetype must be one of {', '.join(DATES)}, overflow error or truncate")
 
     def partitions(self) -> list[Day]:
         return [Day(d) for d in days(self.options["start"], self.options["end"])]
@@ -59,17 +64,19 @@ class EntrezReader(DataSourceReader):
     def read(self, partition: Day) -> Iterator[tuple[str, int, str]]:
         o, day = self.options, partition.day.replace("-", "/")
         common = {"db": o["db"], "tool": o.get("tool", "millrace")} | ({"api_key": o["key"]} if o.get("key") else {})
-        found = json.loads(request(f"{o['url']}/esearch.fcgi", common | {"term": o["term"], "mindate": day, "maxdate": day, "datetype": "pdat", "usehistory": "y", "retmode": "json", "retmax": "0"}))["esearchresult"]
+        found = json.loads(request(f"{o['url']}/esearch.fcgi", common | {"term": o["term"], "mindate": day, "maxdate": day, "datetype": o.get("datetype", "pdat").lower(), "usehistory": "y", "retmode": "json", "retmax": "0"}))["esearchresult"]
         count, size = int(found["count"]), int(o.get("batch", "200"))
-        if count > MOST:
-            raise ValueError(f"{day} has {count} rows, more than a query gives: narrow the term")
+        if o["db"] == "pubmed" and count > MOST:
+            if o.get("overflow", "error") == "error":
+                raise ValueError(f"{day} has {count} rows, more than a query gives: narrow the term")
+            count = MOST  # the first ones of the day, as asked for
         for at in range(0, count, size):
             xml = request(f"{o['url']}/efetch.fcgi", common | {"query_key": found["querykey"], "WebEnv": found["webenv"], "retstart": str(at), "retmax": str(min(size, count - at)), "retmode": "xml"})
             yield partition.day, at, xml.decode()
 
 
 class Entrez(DataSource):
-    """spark.read.format("entrez").options(url=, db=, term=, start=, end=): (day, batch_start, xml)."""
+    """spark.read.format("entrez").options(url=, db=, term=, start=, end=, [batch, key, datetype, overflow]): (day, batch_start, xml)."""
 
     @classmethod
     def name(cls) -> str:

@@ -108,7 +108,7 @@ def read_service(spark: SparkSession, one: Mapping, split: str, most: int | None
     if most is None:
         raise ValueError("the service needs a finite max_documents")
     spark.dataSource.register(Entrez)
-    named = {"url": one.get("base_url", "https://eutils.ncbi.nlm.nih.gov/entrez/eutils"), "db": one["database"], "term": one["search_term"], "start": one["date_start"], "end": one["date_end"], "batch": one.get("batch_size", 100)}
+    named = {"url": one.get("base_url", "https://eutils.ncbi.nlm.nih.gov/entrez/eutils"), "db": one["database"], "term": one["search_term"], "start": one["date_start"], "end": one["date_end"], "batch": one.get("batch_size", 100), "datetype": one.get("date_field", "PDAT"), "overflow": one.get("overflow", "truncate")}
     if key := os.environ.get(str(one.get("api_key_environment_variable", "NCBI_API_KEY"))):
         named["key"] = key
     found = spark.read.format("entrez").options(**{k: str(v) for k, v in named.items()}).load()

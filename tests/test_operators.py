@@ -260,3 +260,13 @@ def test_pairs_of_prompts_with_one_opening(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r["ord"]: r["rejection"] for r in assembly_queries.sft_dedup_pairs(spark, str(tmp_path)).collect()}
     assert got == {1: None, 3: None, 1000001: "duplicate_id", 1000003: "duplicate_id"}
+
+
+def test_licence_lists(spark):
+    p = licensing.LicensePolicy({"cc-by-4.0": licensing.License(("CC BY 4.0",)), "gfdl": licensing.License()}, {"d": licensing.DatasetPolicy(("cc-by-4.0", "gfdl"))})
+    rows = [(0, ["CC BY 4.0", "gfdl and odd"]), (1, []), (2, None), (3, [None, " "])]
+    got = licensing.decide(licensing.normalize(spark.createDataFrame(rows, "i int, license array<string>").withColumn("dataset", F.lit("d")), p), p).orderBy("i").collect()
+    assert [(r.declared, r.unknown_ids) for r in got] == [(["cc-by-4.0", "gfdl"], ["odd"]), ([], []), ([], []), ([], [])]
+    assert ["missing_declared_license" in r.license_reasons for r in got] == [False, True, True, True]
+    number = licensing.normalize(spark.createDataFrame([(7,)], "license int"), p).first()
+    assert (number.declared, number.unknown_ids) == ([], ["7"])

@@ -1,6 +1,7 @@
 """Standardizers, files, shards, the service reader, streams and the stage driver."""
 
 import json
+import os
 import urllib.error
 
 import pytest
@@ -169,8 +170,15 @@ def test_service_partitions(monkeypatch):
     r = entrez.EntrezReader({"url": "http://x", "db": "d", "term": "t", "start": "2024/02/28", "end": "2024-03-01", "batch": "2"})
     assert [p.day for p in r.partitions()] == ["2024-02-28", "2024-02-29", "2024-03-01"]
     assert list(r.read(r.partitions()[0])) == [("2024-02-28", 0, "<x/>"), ("2024-02-28", 2, "<x/>")]
-    with pytest.raises(ValueError):
-        entrez.EntrezReader({"url": "x"})
+    answers["esearch"] = answers["esearch"].replace(b'"3"', b'"12000"')
+    full = {**r.options, "db": "pubmed", "batch": "5000"}
+    with pytest.raises(ValueError, match="12000"):
+        list(entrez.EntrezReader(full).read(r.partitions()[0]))
+    assert [at for _, at, _ in entrez.EntrezReader({**full, "overflow": "truncate"}).read(r.partitions()[0])] == [0, 5000]
+    assert [at for _, at, _ in entrez.EntrezReader({**full, "db": "pmc"}).read(r.partitions()[0])] == [0, 5000, 10000]
+    for bad in ({"url": "x"}, {**full, "datetype": "day"}, {**full, "overflow": "drop"}):
+        with pytest.raises(ValueError):
+            entrez.EntrezReader(bad)
     with pytest.raises(ValueError):
         entrez.days("2024-01-02", "2024-01-01")
 
@@ -202,3 +210,37 @@ def test_stage_driver(spark, sf, tmp_path):
     assert stages.chosen("quality", "license") == ["quality", "license"]
     with pytest.raises(ValueError):
         stages.chosen("license", "clean")
+
+
+def batches(spark, tmp_path, name, schema, parts):
+    """A stream that reads one file for each part, in order."""
+    folder = tmp_path / name
+    folder.mkdir()
+    for k, rows in enumerate(parts):
+        (folder / f"{k}.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows))
+        os.utime(folder / f"{k}.jsonl", (1_000_000 + k, 1_000_000 + k))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
+
+
+def ran(df, tmp_path, name):
+    df.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-cp")).trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.parquet(str(tmp_path / name)).collect()
+
+
+def test_late_rows(spark, tmp_path):
+    """A row behind the watermark is left out of its window, one within the delay counts; copies within the watermark go."""
+    at = lambda m, v=1: {"ts": f"2026-01-01T00:{m:02d}:00.000Z", "by": "a", "value": v, "text": f"t{v}"}
+    parts = [[at(1), at(2), at(14)], [at(9, 5), at(35)], [at(36)], [at(3, 7), at(37)], [at(59)], [{**at(59), "ts": "2026-01-01T02:00:00.000Z"}]]
+    schema = "ts timestamp, by string, value long, text string"
+    rows = ran(stream.windowed_counts(batches(spark, tmp_path, "in", schema, parts), "ts", "by"), tmp_path, "windows")
+    assert {(r.window.start.minute, r.n, r.total) for r in rows} == {(0, 3, 7), (10, 1, 1), (30, 3, 3), (50, 1, 1)}
+    copies = ran(stream.distinct_stream(batches(spark, tmp_path, "in2", schema, [[at(1, 1), at(2, 1)], [at(3, 1), at(4, 2)], [at(5, 2)]]), "ts"), tmp_path, "distinct")
+    assert sorted(r.text for r in copies) == ["t1", "t2"]
+
+
+def test_budget_over_batches(spark, tmp_path):
+    row = lambda i, s, n: {"id": i, "source": s, "tokens": n}
+    parts = [[row(1, "a", 4), row(2, "b", 30), row(3, "c", 1)], [row(4, "a", 5), row(5, "b", 1), row(6, "a", 3)], [row(7, "a", 1), row(8, "b", 1)]]
+    df = batches(spark, tmp_path, "in", "id long, source string, tokens long", parts)
+    rows = ran(stream.budgeted_stream(df, "source", "tokens", {"a": 10, "b": 20}), tmp_path, "out")
+    assert sorted((r.source, r.id, r.total) for r in rows) == [("a", 1, 4), ("a", 4, 9), ("b", 2, 30)]
