@@ -21,17 +21,19 @@ from pyspark.sql import DataFrame
 from ..session import ship
 from .arrow import slices
 
+CACHE = 400 << 20  # bytes of all caches of a worker process
 LEAF = 8  # bits of a rank that its leaf of the bitmap holds
 _BIT = [1 << i for i in range(1 << LEAF)]
 
 
 class Recent:
-    """A bounded cache of two generations: when the young one is full it becomes the old one, and the old one goes."""
+    """A cache of so many bytes in two generations: when the young one holds half of them it becomes the old one, and the old one goes."""
 
-    __slots__ = ("most", "old", "young")
+    __slots__ = ("held", "most", "old", "young")
+    ENTRY = 200  # bytes of an entry besides its texts: two objects and a place in the table
 
-    def __init__(self, most: int = 1_200_000):
-        self.most, self.young, self.old = most // 2, {}, {}
+    def __init__(self, most: int):
+        self.most, self.held, self.young, self.old = most // 2, 0, {}, {}
 
     def get(self, key: str) -> bytes | bool | None:
         found = self.young.get(key)
@@ -40,9 +42,10 @@ class Recent:
         return found
 
     def put(self, key: str, value: bytes | bool) -> None:
-        if len(self.young) >= self.most:
-            self.old, self.young = self.young, {}
+        if self.held >= self.most:
+            self.old, self.young, self.held = self.young, {}, 0
         self.young[key] = value
+        self.held += self.ENTRY + 2 * len(key) + (len(value) if value else 0)
 
 
 class Coder:
@@ -54,7 +57,7 @@ class Coder:
         self.vocabulary = {r: t for t, r in self.ranks.items()}
         self.decimal = {r: str(r) for r in self.vocabulary}
         self.pattern = regex.compile(pattern)
-        self.seen = Recent()
+        self.seen = Recent(CACHE // 4)
         self.chunks = ChunkCache(lambda pieces: [b"".join(map(self.pre_token, self.pattern.findall(p))) for p in pieces])
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -150,7 +153,7 @@ class ChunkCache:
     begins or ends with white space is encoded as a whole. encode_many gives the ids of strings as bytes.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], most: int = 1_200_000):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], most: int = CACHE // 2):
         self.encode_many = encode_many
         self.first, self.later = Recent(most // 8), Recent(most)
 

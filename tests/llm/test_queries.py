@@ -1,12 +1,18 @@
 """The registered queries: contract columns, and the same rows as their DuckDB twins."""
 
+import base64
 import glob
+import hashlib
 import os
+from collections import defaultdict
 
 import duckdb
+import public_tokenizers as P
 import pytest
+import tiktoken
 
-from millrace.llm import queries
+from millrace.llm import lm, quality, queries
+from tests.llm import test_pack, test_suffix
 
 COLUMNS = {
     "op1_": "vec_id n_links component_id kept", "op2_": "doc_id held_out n_tokens n_known train_tokens base_score score", "op4_": "doc_id n_tokens ids_sha256 decoded_sha256",
@@ -36,3 +42,41 @@ def test_contract_columns(spark, sf):
         if prefix in ("op5_", "op8_"):
             df = registered[next(n for n in registered if n.startswith(prefix))](spark, sf)
             assert set(wanted.split()) <= set(df.columns)
+
+
+def rows(spark, sf, prefix):
+    registered = queries.queries()
+    return registered[next(n for n in registered if n.startswith(prefix))](spark, sf).collect()
+
+
+@pytest.fixture(scope="module")
+def texts(spark, sf):
+    return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+
+
+def test_encoding_equals_the_library(spark, sf, texts):
+    with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = rows(spark, sf, "op4_")
+    assert {r.doc_id for r in got} == set(texts)
+    for r in got:
+        ids = library.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
+
+
+def test_packing_and_passages(spark, sf, texts):
+    test_pack.holds(rows(spark, sf, "op5_"), texts)
+    found = defaultdict(set)
+    for r in rows(spark, sf, "op3_"):
+        found[r.doc_id] |= set(range(r.start_word, r.end_word))
+        assert r.copy_of
+    assert found == test_suffix.brute(texts.items())
+
+
+def test_trained_columns_follow_their_operators(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = {r.doc_id: (r.kept, r.distance) for r in quality.judge(docs.repartition(3)).collect()}
+    assert {r.doc_id: (r.kept, r.distance) for r in rows(spark, sf, "op10_")} == want
+    want = {r.doc_id: r.score for r in lm.score(docs.repartition(3)).collect()}
+    assert {r.doc_id: r.score for r in rows(spark, sf, "op2_")} == pytest.approx(want, rel=1e-9)
