@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from ..session import ship
 from .arrow import slices
 
-CACHE = 400 << 20  # bytes of all caches of a worker process
+CACHE = 600 << 20  # bytes of all caches of a worker process
 LEAF = 8  # bits of a rank that its leaf of the bitmap holds
 _BIT = [1 << i for i in range(1 << LEAF)]
 
