@@ -32,6 +32,7 @@ from .arrow import slices
 from .store import Scratch
 
 SYMBOLS, SHAPES, CLASSES, HEAD = 896, 128, 64, 1 << 18
+CONTEXT_SLICE = 1 << 20  # bytes of text at a time where contexts are counted
 UNIGRAM, EMISSION, TRANSITION = 0.1, 0.1, 0.5
 END = np.uint64(0x5EED0E4D0C0FFEE1)  # the fingerprint of the end token
 
@@ -192,9 +193,11 @@ def count_pairs(train: DataFrame, named: np.ndarray, index: np.ndarray) -> np.nd
 
 
 def count_contexts(train: DataFrame, named: np.ndarray, index: np.ndarray, of: np.ndarray) -> DataFrame:
-    """(print, shape, cells, ns): for every word without a symbol of its own, partial counts of left (cell: the class) and right (CLASSES more) classes."""
+    """(print, shape, cells, ns): for every word without a symbol of its own, partial counts of left (cell: the class) and right (CLASSES more) classes.
+
+    A task holds words and cells in narrow types and reads small slices, as tasks share an executor's memory.
+    """
     shared = train.sparkSession.sparkContext.broadcast((named, index, of))
-    sides = 2 * CLASSES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, symbol, of = shared.value
@@ -203,10 +206,12 @@ def count_contexts(train: DataFrame, named: np.ndarray, index: np.ndarray, of: n
 
         def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
             p, s, cell, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            u, first, inverse = np.unique(p, return_index=True, return_inverse=True)
-            keys, at = np.unique(inverse * sides + cell, return_inverse=True)
-            word = keys // sides
-            return u[word], s[first][word], keys % sides, np.bincount(at, n, len(keys)).astype(np.int64)
+            held.clear()
+            order = np.lexsort((cell, p))
+            p, cell = p[order], cell[order]
+            first = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (cell[1:] != cell[:-1])])) if len(p) else np.zeros(0, np.int64)
+            n = np.add.reduceat(n[order], first) if len(p) else n
+            return p[first], s[order[first]], cell[first], n
 
         def out() -> Iterator[pa.RecordBatch]:
             p, s, cell, n = held[0]
@@ -218,7 +223,7 @@ def count_contexts(train: DataFrame, named: np.ndarray, index: np.ndarray, of: n
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(x[f[0] : e[-1]], t)) for x, t in ((cell, pa.int16()), (n, pa.int64()))]
                 yield pa.record_batch([pa.array(p[f].view(np.int64)), pa.array(s[f].astype(np.int32)), *lists], ["print", "shape", "cells", "ns"])
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", CONTEXT_SLICE):
             p, s, offsets = tokens(batch.column("text"))
             at = np.minimum(np.searchsorted(known, p), len(known) - 1)
             own = known[at] == p
@@ -228,7 +233,8 @@ def count_contexts(train: DataFrame, named: np.ndarray, index: np.ndarray, of: n
             before[offsets[:-1]] = c[-1]  # a text begins after an end
             after[offsets[1:] - 1] = c[offsets[:-1]]  # an end stands before its own text
             rare = np.flatnonzero(~own)
-            held.append((np.tile(p[rare], 2), np.tile(s[rare], 2), np.concatenate([before[rare], CLASSES + after[rare]]), np.ones(2 * len(rare), np.int64)))
+            sides = np.concatenate([before[rare], CLASSES + after[rare]]).astype(np.uint8)
+            held.append((np.tile(p[rare], 2), np.tile(s[rare].astype(np.uint8), 2), sides, np.ones(2 * len(rare), np.int64)))
             size += 2 * len(rare)
             if size > 1_500_000:
                 held[:] = [merged()]

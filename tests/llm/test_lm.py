@@ -2,8 +2,10 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -106,6 +108,47 @@ def test_exchange_finds_planted_classes():
     assert len({(a, b) for a, b in zip(of, got)}) == k
 
 
+def test_contexts_of_a_task_stay_small():
+    """Two tasks share an executor: one holds at most 150 MB of arrays however many contexts it meets, and loses none of them."""
+    rng = np.random.default_rng(5)
+    vocabulary = np.array([f"{'Wé9'[i % 3]}{i}" for i in range(400_000)], object)
+    ids = np.where(rng.random(1_600_000) < 0.4, rng.integers(0, 50, 1_600_000), rng.integers(0, 400_000, 1_600_000)).reshape(-1, 800)
+    texts = pa.array([" ".join(x) for x in vocabulary[ids]])
+    prints, shape, _ = lm.tokens(pa.array(vocabulary))
+    prints, shape = prints[::2], shape[::2]  # without the ends
+    named = np.sort(np.append(prints[:50], lm.END))
+    of = np.arange(lm.SYMBOLS + lm.SHAPES) * 7 % lm.CLASSES
+    broadcast = SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x))
+    train = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=broadcast), mapInArrow=lambda run, schema: run)
+    train.select = lambda column: train
+    run = lm.count_contexts(train, named, np.arange(51), of)
+    got, shapes = Counter(), {}
+    tracemalloc.start()
+    try:
+        made = list(run(iter([pa.record_batch([texts], ["text"])])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    for batch in made:
+        for p, s, cells, ns in zip(*(batch.column(x).to_pylist() for x in ("print", "shape", "cells", "ns"))):
+            shapes[p] = s
+            for cell, n in zip(cells, ns):
+                got[p, cell] += n
+    signed = prints.view(np.int64).tolist()
+    symbol = {p: i for i, p in enumerate(named.view(np.int64).tolist())}
+    classes = [int(of[symbol.get(p, lm.SYMBOLS + s)]) for p, s in zip(signed, shape.tolist())]
+    end, want = int(of[symbol[int(lm.END.view(np.int64))]]), Counter()
+    for text in ids.tolist():
+        c = [end, *(classes[i] for i in text), end]
+        for at, i in enumerate(text):
+            if i >= 50:
+                want[signed[i], c[at]] += 1
+                want[signed[i], lm.CLASSES + c[at + 2]] += 1
+    assert got == want
+    assert shapes == {signed[i]: int(shape[i]) for i in np.unique(ids[ids >= 50]).tolist()}
+    assert peak < 150e6
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert lm.score(empty).collect() == []
