@@ -29,6 +29,7 @@ class LanguagePolicy:
     top_k: int = 3
     minimum_characters: int = 40
     sample_characters: int = 5000
+    name_missing: bool = True  # missing and empty texts have reasons of their own
 
     def __post_init__(self) -> None:
         if not 0 <= self.minimum_confidence <= 1:
@@ -59,15 +60,19 @@ def predictor(make: Callable[[], Detector], top_k: int) -> Callable[[Column], Co
     return run
 
 
-def decide(df: DataFrame, p: LanguagePolicy, predictions: str = "predictions", text: str = "text") -> DataFrame:
-    """Adds language_reason and language_keep; predictions are sorted from the surest on."""
+def decide(df: DataFrame, p: LanguagePolicy, predictions: str = "predictions", text: str = "text", length: Column | None = None) -> DataFrame:
+    """Adds language_reason and language_keep; predictions are sorted from the surest on.
+
+    length is what minimum_characters bounds: if not given, that of the text without its outer white space.
+    """
     top = F.get(F.col(predictions), F.lit(0))
     sure = lambda x: x["confidence"] >= p.minimum_confidence
     ours = top["language"] == p.expected
     later = F.get(F.filter(F.slice(predictions, 2, 1000), lambda x: x["language"] == p.expected), F.lit(0))
-    n = F.length(T.strip(F.col(text)))
+    n = F.length(T.strip(F.col(text))) if length is None else length
+    named = F.lit(p.name_missing)
     reason = (
-        F.when(F.col(text).isNull(), "invalid_text_type").when(n == 0, "empty_text").when(n < p.minimum_characters, "too_short_for_reliable_detection")
+        F.when(named & F.col(text).isNull(), "invalid_text_type").when(named & (n == 0), "empty_text").when(n < p.minimum_characters, "too_short_for_reliable_detection")
         .when(F.coalesce(F.size(predictions), F.lit(0)) <= 0, "no_prediction").when(ours & sure(top), "expected_language_high_confidence")
         .when(ours, "expected_language_low_confidence_kept" if p.keep_low_confidence else "expected_language_low_confidence")
     )

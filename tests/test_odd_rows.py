@@ -38,3 +38,7 @@ def same(spark, odd, name):
 @pytest.mark.parametrize("name", ["distinct_documents_by_source", "global_dedup_priority"])
 def test_blank_texts_are_compared_with_all_others(spark, odd, name):
     same(spark, odd, name)
+
+
+def test_blank_texts_are_short(spark, odd):
+    same(spark, odd, "language_decision")
