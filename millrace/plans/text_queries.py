@@ -109,7 +109,7 @@ def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT doc_id, len({WORDS_SQL}) AS words, len({SENTENCES_SQL}) AS sentences, len({LINES_SQL}) AS lines, len(string_split({squash_sql('text')}, ' ')) AS space_words FROM documents")
 def word_sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", *(F.size(c).cast("long").alias(n) for n, c in (("words", T.words(t)), ("sentences", T.sentences(t)), ("lines", T.lines(t)), ("space_words", T.space_words(t)))))
+    return table(spark, sf_dir, "documents").select("doc_id", *(F.size(c).cast("long").alias(n) for n, c in (("words", T.words(t)), ("sentences", T.sentences(t)), ("lines", T.lines(t)), ("space_words", F.split(T.squash(t), " ")))))
 
 
 @query(f"SELECT doc_id, alphabetic_ratio, digit_ratio, symbol_ratio, whitespace_ratio, uppercase_ratio FROM ({METRICS_SQL})")

@@ -42,3 +42,13 @@ def test_blank_texts_are_compared_with_all_others(spark, odd, name):
 
 def test_blank_texts_are_short(spark, odd):
     same(spark, odd, "language_decision")
+
+
+@pytest.mark.parametrize("name", ["packed_records", "packing_stats", "word_sentence_counts"])
+def test_a_blank_text_is_one_empty_word(spark, odd, name):
+    if name == "word_sentence_counts":  # its SQL has nulls for a missing text
+        con, folder = odd
+        want = {k: 1 for k in range(100_000, 100_005)}
+        assert {r.doc_id: r.space_words for r in catalogue.queries()[name](spark, folder).collect() if r.doc_id in want} == want
+    else:
+        same(spark, odd, name)
