@@ -133,18 +133,36 @@ def encode_structured(df: DataFrame, path: str, length: int, bos: int, eos: int,
     first, by characters, to the longest beginning that fits; it is dropped if the response alone leaves no room, and
     then the response is cut. The length of a prompt has to be known in tokens, so this is an Arrow function.
     """
-    schema = "struct<input_ids: array<int>, attention_mask: array<int>, labels: array<int>, prompt_tokens: int, response_tokens: int, context_truncated: boolean, response_truncated: boolean, error: string>"
+    return T.let(encode_unpadded(df, path, length, bos, eos), encoded=padded(F.col("unpadded"), length, pad)).drop("unpadded")
+
+
+def padded(c: Column, length: int, pad: int) -> Column:
+    """The struct encoded of encode_structured() from that of encode_unpadded()."""
+    ids, n, prompt = c["ids"], F.size(c["ids"]), c["prompt_tokens"]
+    fill = F.when(n == 0, 0).otherwise(F.lit(length) - n)
+    active = F.when(n == 0, 0).otherwise(prompt + 1)
+    labels = F.concat(F.array_repeat(F.lit(IGNORE), active), F.slice(ids, active + 1, n - active), F.array_repeat(F.lit(IGNORE), fill))
+    arrays = (F.concat(ids, F.array_repeat(F.lit(pad), fill)).alias("input_ids"), F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), fill)).alias("attention_mask"), labels.alias("labels"))
+    return F.struct(*arrays, *(c[x].alias(x) for x in ("prompt_tokens", "response_tokens", "context_truncated", "response_truncated", "error")))
+
+
+def encode_unpadded(df: DataFrame, path: str, length: int, bos: int, eos: int) -> DataFrame:
+    """Adds unpadded: the ids of prompt and response as encode_structured() fits them, without the padding, which padded() adds.
+
+    Padding may be most of a row, so it is neither made in Python nor shuffled or saved.
+    """
+    schema = "struct<ids: array<int>, prompt_tokens: int, response_tokens: int, context_truncated: boolean, response_truncated: boolean, error: string>"
 
     @F.pandas_udf(schema)
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         t = load(path)
         ids = lambda text: t.encode(text, add_special_tokens=False).ids
         for columns in batches:
-            rows = [_fitted(ids, *(x if isinstance(x, str) else "" for x in row), length, bos, eos, pad) for row in zip(*columns, strict=True)]
-            yield pd.DataFrame(rows, columns=["input_ids", "attention_mask", "labels", "prompt_tokens", "response_tokens", "context_truncated", "response_truncated", "error"])
+            rows = [_fitted(ids, *(x if isinstance(x, str) else "" for x in row), length, bos, eos) for row in zip(*columns, strict=True)]
+            yield pd.DataFrame(rows, columns=["ids", "prompt_tokens", "response_tokens", "context_truncated", "response_truncated", "error"])
 
     ship(df.sparkSession)
-    return T.let(df, encoded=run("instruction", "context", "context_type", "response"))
+    return T.let(df, unpadded=run("instruction", "context", "context_type", "response"))
 
 
 def prompt_of(instruction: str, context: str, kind: str) -> str:
@@ -153,11 +171,11 @@ def prompt_of(instruction: str, context: str, kind: str) -> str:
     return f"Instruction:\n{instruction.strip()}{middle}\n\nResponse:\n"
 
 
-def _fitted(ids, instruction: str, context: str, kind: str, response: str, length: int, bos: int, eos: int, pad: int) -> tuple:
+def _fitted(ids, instruction: str, context: str, kind: str, response: str, length: int, bos: int, eos: int) -> tuple:
     bare, answer, room, context = ids(prompt_of(instruction, "", "")), ids(response), length - 2, context.strip()
     problem = "empty_response" if not answer else "instruction_too_long" if len(bare) + 1 > room else None
     if problem:
-        return [], [], [], 0, 0, False, False, problem
+        return [], 0, 0, False, False, problem
     prompt, shortened = ids(prompt_of(instruction, context, kind)), False
     if context and len(prompt) + len(answer) > room:
         prompt, shortened, budget, a, z = bare, True, room - len(answer), 0, len(context)
@@ -169,10 +187,7 @@ def _fitted(ids, instruction: str, context: str, kind: str, response: str, lengt
             else:
                 z = middle - 1
     kept = answer[: room - len(prompt)]
-    made = [bos, *prompt, *kept, eos]
-    fill = length - len(made)
-    labels = [IGNORE] * (1 + len(prompt)) + [*kept, eos] + [IGNORE] * fill
-    return made + [pad] * fill, [1] * len(made) + [0] * fill, labels, len(prompt), len(kept) + 1, shortened, len(kept) < len(answer), None
+    return [bos, *prompt, *kept, eos], len(prompt), len(kept) + 1, shortened, len(kept) < len(answer), None
 
 
 def violations(examples: DataFrame, length: int, vocabulary: int, eos: int) -> DataFrame:

@@ -63,12 +63,12 @@ def prepare_instructions(df: DataFrame, c: InstructionBuild, order: str = "line"
     ship(df.sparkSession)
     scratch = Scratch(df.sparkSession, "instructions")
     parsed = sft.parse(df)
-    usable = sft.encode_structured(parsed.where("parse_error is null"), c.tokenizer, c.length, c.bos, c.eos, c.pad)
+    usable = sft.encode_unpadded(parsed.where("parse_error is null"), c.tokenizer, c.length, c.bos, c.eos)
     usable = scratch.save(usable.drop("parse_error", "prompt"), "encoded")
-    good = sft.deduplicate(sft.prompt_group(usable.where("encoded.error is null")), order)
+    good = sft.deduplicate(sft.prompt_group(usable.where("unpadded.error is null")), order)
     good = scratch.save(good, "deduplicated")
     of = lambda frame, reason: frame.select(order, "id", "source", reason.alias("reason"))
-    rejected = of(parsed.where("parse_error is not null"), F.col("parse_error")).union(of(usable.where("encoded.error is not null"), F.col("encoded.error"))).union(of(good.where("rejection is not null"), F.col("rejection")))
+    rejected = of(parsed.where("parse_error is not null"), F.col("parse_error")).union(of(usable.where("unpadded.error is not null"), F.col("unpadded.error"))).union(of(good.where("rejection is not null"), F.col("rejection")))
     kept = good.where("rejection is null").drop("rejection").withColumn("source", F.coalesce("source", F.lit("unknown")))
     counts = {r["source"]: r["n"] for r in kept.groupBy("source").agg(F.count("*").alias("n")).collect()}
     if c.sources and sorted(counts) != sorted(c.sources):
@@ -80,7 +80,7 @@ def prepare_instructions(df: DataFrame, c: InstructionBuild, order: str = "line"
     wanted = {"train", "validation", *(["test"] if c.test else [])}
     if counts and wanted - there:
         raise ValueError(f"empty splits: {', '.join(sorted(wanted - there))}")
-    return out, rejected
+    return out.withColumn("encoded", sft.padded(F.col("unpadded"), c.length, c.pad)).drop("unpadded"), rejected
 
 
 def example_report(examples: DataFrame) -> DataFrame:
