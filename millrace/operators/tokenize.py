@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..session import ship
 
 _loaded: dict[str, object] = {}
+PIECE = 1 << 18  # characters that are encoded at a time: a token's entry takes far more memory than its characters
 
 
 def load(path: str):
@@ -22,6 +23,19 @@ def load(path: str):
     return _loaded[path]
 
 
+def pieces(texts: list[str], most: int = PIECE) -> Iterator[list[str]]:
+    """Runs of texts of about so many characters, one text at least."""
+    held, n = [], 0
+    for t in texts:
+        held.append(t)
+        n += len(t)
+        if n >= most:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def encode(c: Column, path: str) -> Column:
     """Token ids of a text column, without special tokens; a null text is empty."""
 
@@ -29,7 +43,7 @@ def encode(c: Column, path: str) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         t = load(path)
         for texts in batches:
-            yield pd.Series([e.ids for e in t.encode_batch_fast(texts.fillna("").tolist(), add_special_tokens=False)], index=texts.index)
+            yield pd.Series([e.ids for p in pieces(texts.fillna("").tolist()) for e in t.encode_batch_fast(p, add_special_tokens=False)], index=texts.index)
 
     return run(c)
 
@@ -39,6 +53,15 @@ def token_count(c: Column, path: str, eos: int = 1) -> Column:
     return (F.size(encode(c, path)) + eos).cast("long")
 
 
+def _measured(t, texts: list[str], unknown: str) -> list[tuple[int, int, int, bool]]:
+    """Tokens, single characters, unknown tokens and whether the text comes back, of each text."""
+    made = t.encode_batch(texts, add_special_tokens=False)
+    ids = [e.ids for e in made]
+    back = t.decode_batch(ids, skip_special_tokens=False)
+    missing = t.token_to_id(unknown)
+    return [(len(i), sum(len(x) == 1 for x in e.tokens), i.count(missing), a == b) for e, i, a, b in zip(made, ids, texts, back, strict=True)]
+
+
 def metrics(df: DataFrame, path: str, by: str, unknown: str = "<unk>") -> DataFrame:
     """Tokenizer metrics overall and by one column: tokens, ratios, single-character, unknown and round-trip rates, length summary."""
 
@@ -46,10 +69,7 @@ def metrics(df: DataFrame, path: str, by: str, unknown: str = "<unk>") -> DataFr
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         t = load(path)
         for texts in batches:
-            texts = texts.fillna("").tolist()
-            made = t.encode_batch(texts, add_special_tokens=False)
-            back = t.decode_batch([e.ids for e in made], skip_special_tokens=False)
-            yield pd.DataFrame({"tokens": [len(e.ids) for e in made], "singles": [sum(len(x) == 1 for x in e.tokens) for e in made], "unknowns": [e.ids.count(t.token_to_id(unknown)) for e in made], "same": [a == b for a, b in zip(texts, back, strict=True)]})
+            yield pd.DataFrame([row for p in pieces(texts.fillna("").tolist()) for row in _measured(t, p, unknown)], columns=["tokens", "singles", "unknowns", "same"])
 
     ship(df.sparkSession)
     rows = df.select(by, F.length("text").alias("c"), F.octet_length("text").alias("b"), F.size(T.space_words(F.col("text"))).alias("w"), run(F.col("text")).alias("e")).select(by, "c", "b", "w", "e.*")
