@@ -101,9 +101,13 @@ NAMES = [
 ]
 
 
+def _metrics(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    return quality.metrics(table(spark, sf_dir, "documents").select("doc_id", "text"), names=names).drop("text")
+
+
 @query(f"SELECT doc_id, {', '.join(NAMES)} FROM ({METRICS_SQL})")
 def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.metrics(table(spark, sf_dir, "documents")).select("doc_id", *NAMES)
+    return _metrics(spark, sf_dir, *NAMES)
 
 
 @query(f"SELECT doc_id, len({WORDS_SQL}) AS words, len({SENTENCES_SQL}) AS sentences, len({LINES_SQL}) AS lines, len(string_split({squash_sql('text')}, ' ')) AS space_words FROM documents")
@@ -114,27 +118,27 @@ def word_sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, alphabetic_ratio, digit_ratio, symbol_ratio, whitespace_ratio, uppercase_ratio FROM ({METRICS_SQL})")
 def char_class_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.metrics(table(spark, sf_dir, "documents")).select("doc_id", "alphabetic_ratio", "digit_ratio", "symbol_ratio", "whitespace_ratio", "uppercase_ratio")
+    return _metrics(spark, sf_dir, "alphabetic_ratio", "digit_ratio", "symbol_ratio", "whitespace_ratio", "uppercase_ratio")
 
 
 @query(_share_sql(LINE_ITEMS, "repeated_line_ratio"))
 def repeated_line_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.metrics(table(spark, sf_dir, "documents")).select("doc_id", "repeated_line_ratio")
+    return _metrics(spark, sf_dir, "repeated_line_ratio")
 
 
 @query(_share_sql(SENTENCE_ITEMS, "repeated_sentence_ratio"))
 def repeated_sentence_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.metrics(table(spark, sf_dir, "documents")).select("doc_id", "repeated_sentence_ratio")
+    return _metrics(spark, sf_dir, "repeated_sentence_ratio")
 
 
 @query(NGRAM_SQL)
 def repeated_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.metrics(table(spark, sf_dir, "documents")).select("doc_id", "repeated_ngram_ratio")
+    return _metrics(spark, sf_dir, "repeated_ngram_ratio")
 
 
 @query(f"SELECT doc_id, url_count, email_count FROM ({METRICS_SQL})")
 def url_email_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.metrics(table(spark, sf_dir, "documents")).select("doc_id", "url_count", "email_count")
+    return _metrics(spark, sf_dir, "url_count", "email_count")
 
 
 def decision_sql(metrics: str, p: quality.QualityPolicy) -> str:
