@@ -56,7 +56,8 @@ def canonical(df: DataFrame, s: Source, text: Column, license_: Column | None =
     held = F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull()))
     if more is not None:  # the source's own metadata, of which ours take precedence
         held = F.map_concat(F.map_filter(F.coalesce(more, F.expr("cast(map() as map<string, string>)")), lambda k, v: v.isNotNull() & ~F.array_contains(F.map_keys(held), k)), held)
-    rows = df.select("source_index", text.alias("text"), (license_ if license_ is not None else F.lit(s.license)).alias("license"), held.alias("metadata"))
+    # behind a generator, as the text is asked for several times below
+    rows = T.let(df, _text=text).select("source_index", F.col("_text").alias("text"), (license_ if license_ is not None else F.lit(s.license)).alias("license"), held.alias("metadata"))
     rows = rows.where(~T.blank(F.col("text")))
     if s.max_documents is not None:
         rows = limit_each(rows.withColumn("_g", F.lit(0)), "_g", "source_index", s.max_documents).drop("_g")
